@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, quality_rules, url_graph
+from . import mixing, packing, quality_rules, token_files, url_graph
 from .shared import Scratch, ship
 
 OPS = {}
@@ -29,6 +29,17 @@ def op1_quality_rules(spark, sf_dir, scratch):
     )
 
 
+@_op
+def op2_bin_slack(spark, sf_dir, scratch):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
+
+
+@_op
+def op4_token_files(spark, sf_dir, scratch):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read_digests(token_files.write_files(docs, scratch))
+
+
 @_op
 def op6_source_mix(spark, sf_dir, scratch):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
