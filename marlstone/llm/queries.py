@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, packing, quality_rules, token_files, url_graph
+from . import jaccard_join, mixing, packing, quality_rules, token_files, url_graph
 from .shared import Scratch, ship
 
 OPS = {}
@@ -46,6 +46,11 @@ def op6_source_mix(spark, sf_dir, scratch):
     return mixing.taken(mixing.plan_mix(docs, scratch))
 
 
+@_op
+def op8_jaccard_join(spark, sf_dir, scratch):
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch, width=3, num=9, den=10)
+
+
 @_op
 def op10_url_graph(spark, sf_dir, scratch):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
