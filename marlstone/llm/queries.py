@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import jaccard_join, mixing, packing, quality_rules, token_files, url_graph
-from .shared import Scratch, ship
+from . import jaccard_join, mixing, packing, quality_model, quality_rules, token_files, tool_calls, toxicity, url_graph, vector_dedup
+from .shared import Scratch, held_out, ship
 
 OPS = {}
 
@@ -34,23 +34,48 @@ def op2_bin_slack(spark, sf_dir, scratch):
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
 
 
+@_op
+def op3_toxicity(spark, sf_dir, scratch):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), scratch)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 @_op
 def op4_token_files(spark, sf_dir, scratch):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.read_digests(token_files.write_files(docs, scratch))
 
 
+@_op
+def op5_projection_dedup(spark, sf_dir, scratch):
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), scratch)
+
+
 @_op
 def op6_source_mix(spark, sf_dir, scratch):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.taken(mixing.plan_mix(docs, scratch))
 
 
+@_op
+def op7_quality_trees(spark, sf_dir, scratch):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    return quality_model.digest(quality_model.score(docs, model), quality_model.CUT)
+
+
 @_op
 def op8_jaccard_join(spark, sf_dir, scratch):
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch, width=3, num=9, den=10)
 
 
+@_op
+def op9_tool_calls(spark, sf_dir, scratch):
+    return tool_calls.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch)
+
+
 @_op
 def op10_url_graph(spark, sf_dir, scratch):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
