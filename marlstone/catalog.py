@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-REGISTRY: dict = {}
-SQL: dict[str, str] = {}
+from .plans import catalogs, listings, merges, retrieval, setlists, states, texts, usage  # noqa: F401  registers queries
+from .plans.registry import QUERIES, SQL
 
 
 def queries() -> dict:
-    return dict(REGISTRY)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
