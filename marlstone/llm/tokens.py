@@ -9,16 +9,15 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept per worker; beyond that the memory starts anew.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 500_000
 #: Bytes of text tokenised at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 _PUNCT = string.punctuation.replace("'", "")
 
@@ -52,14 +51,17 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {}
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
+        self.parts: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.starts = np.zeros(1 << 16, np.int32)
+        self.lengths = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _letters(self, word: str) -> list[int] | None:
+    def _plain(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _letters(self, word: str) -> bytes | None:
         """Ids of a run of letters that no normalisation but lower case changes; None for other words."""
         if not word.isalpha():
             return None
@@ -69,22 +71,23 @@ class WordEncoder:
             low = "".join([self.symbols[b] for b in word.lower().encode()])
         else:
             return None
-        return [t.id for t in self.tokenizer.model.tokenize(low)]
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(low)])
 
-    def ids(self, word: str) -> list[int]:
+    def ids(self, word: str) -> bytes:
+        """The word's ids as little-endian 32-bit numbers."""
         core = word.rstrip(_PUNCT)
         ids = self.parts.get(core)
         if ids is None:
             if "<|" not in word:
                 ids = self._letters(core)
             if ids is None:
-                return self.tokenizer.encode(word, add_special_tokens=False).ids
+                return self._plain(word)
             self.parts[core] = ids
         if len(core) < len(word):
             tail = word[len(core):]
             end = self.tails.get(tail)
             if end is None:
-                end = self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                end = self.tails[tail] = self._plain(tail)
             return ids + end
         return ids
 
@@ -92,8 +95,8 @@ class WordEncoder:
         if not words:
             return
         found = list(map(self.ids, words))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
         k = len(self.words)
         self.words.update(zip(words, range(k, k + len(words))))
         self.starts = _room(self.starts, k + len(words))
@@ -116,7 +119,7 @@ class WordEncoder:
         self._learn([w for w in distinct if w not in known])
         at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[codes] if distinct else np.zeros(0, np.int64)
         lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)]
         word_ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)]
