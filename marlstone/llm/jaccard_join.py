@@ -9,9 +9,10 @@ linked pair agrees on at least one whole part; texts that agree on a part form o
 
 Recursion. Each region takes its first text as pivot; texts within r of it are linked to it and so to
 each other, and need no more comparing. What is left of a region that still holds unconnected texts goes
-on with new pivots, one per connected part at first and doubling each round; a text meets a pivot only if
-their distances to the first pivot differ by r at most, the triangle inequality's window. A pivot met by
-its whole window is done. Every round is one distinct, one join for the sets and a union of links, so no
+on with new pivots, one per connected part at first and more each round; a text meets a pivot only if
+their distances to the first pivot differ by r at most, the triangle inequality's window, and if a parity
+sketch, a lower bound of the shingles that they differ in, allows the link. Both are conditions of the join
+that makes the pairs, so it makes few. A pivot met by its whole window is done. Every round is one distinct, one join for the sets and a union of links, so no
 region is gathered anywhere, and exact copies of a set take part once.
 
 Nulls and texts without words have an empty set and link with nothing. Texts with fewer words than a
@@ -37,6 +38,9 @@ from .tokens import slices
 #: Size classes taken together in a band, for sets of ``SMALL`` shingles and more.
 CLASSES = 4
 SMALL = 64
+#: 64-bit words of the sketch that tells apart texts of a region before their sets are compared.
+SKETCH = 8
+BITS = tuple(f"s{i}" for i in range(SKETCH))
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -162,13 +166,21 @@ def _prints(width: int, num: int, den: int):
     return run
 
 
+def parity_sketch(grams: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of shingles falls on it. Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount(((grams >> np.uint64(7)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=4 << 20):
+            for part in slices(batch):
                 sets = shingle_sets(part.column("text"), width)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "grams"])
+                sketches = np.array([parity_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
+                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c) for c in sketches.T.copy())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "size", *BITS, "grams"])
 
     return run
 
@@ -188,13 +200,19 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, width: i
     ``classes``: rep and keys.
     """
     keyed = classes.where("rep is not null").select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("_c"), F.min("rep").alias("p")).where("_c > 1").drop("_c")
-    regions = scratch.save(keyed.join(shared, "key").select("key", "rep", "p"), "regions")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1")
+    meeting = scratch.save(keyed.join(shared, "key").select("key", "rep", "_c"), "meeting")
+    # the pivot of a region is the text that agrees with most others, so that most are within r of it
+    central = meeting.groupBy("rep").agg(F.sum("_c").alias("_w"))
+    weighed = meeting.join(central, "rep").select("key", "rep", F.struct(F.col("_w"), -F.col("rep")).alias("_w"))
+    pivot = weighed.groupBy("key").agg(F.max_by("rep", "_w").alias("p"))
+    regions = scratch.save(meeting.select("key", "rep").join(pivot, "key"), "regions")
+    scratch.drop(meeting)
     if regions.isEmpty():
         return None
     involved = regions.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(involved, "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.save(texts.mapInArrow(_full_sets(width), "id long, grams array<bigint>"), "sets")
+    sets = scratch.save(texts.mapInArrow(_full_sets(width), f"id long, size long, {', '.join(b + ' long' for b in BITS)}, grams array<bigint>"), "sets")
 
     met = scratch.save(_verified(regions.where("rep <> p").select(F.col("rep").alias("x"), F.col("p").alias("y")).distinct(), sets, num, den), "met")
     links = met.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -205,19 +223,23 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, width: i
         whole = components(scratch, links)
         parts = left.join(whole.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         apart = parts.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
-        members = scratch.save(parts.join(apart, "key", "left_semi").select("key", "rep", "away", "component"), "members")
+        members = parts.join(apart, "key", "left_semi").join(sets.select(F.col("id").alias("rep"), "size", *BITS), "rep")
+        members = scratch.save(members.select("key", "rep", "away", "component", "size", *BITS), "members")
         if members.isEmpty():
             return whole
         nth = F.row_number().over(Window.partitionBy("key", "component").orderBy("rep"))
         ranked = scratch.save(members.withColumn("_pivot", nth <= pivots), "ranked")
-        q = ranked.where("_pivot").select("key", F.col("rep").alias("_q"), F.col("away").alias("_away"), F.col("component").alias("_part"))
-        meet = ranked.join(q, "key").where((F.col("component") != F.col("_part")) & (F.abs(F.col("away") - F.col("_away")) <= radius))
-        pairs = meet.select(F.greatest("rep", "_q").alias("x"), F.least("rep", "_q").alias("y")).distinct()
+        q = ranked.where("_pivot").select("key", *(F.col(c).alias(f"_q_{c}") for c in ("rep", "away", "component", "size", *BITS)))
+        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_q_{c}"))) for c in BITS), F.lit(0))
+        close = bits * (den + num) <= (F.col("size") + F.col("_q_size")) * (den - num)
+        window = F.abs(F.col("away") - F.col("_q_away")) <= radius
+        meet = ranked.join(q, (ranked["key"] == q["key"]) & (F.col("component") != F.col("_q_component")) & window & close)
+        pairs = meet.select(F.greatest("rep", "_q_rep").alias("x"), F.least("rep", "_q_rep").alias("y")).distinct()
         fresh = scratch.save(_verified(pairs.join(met, ["x", "y"], "left_anti"), sets, num, den), "fresh")
         met = met.unionByName(fresh)
         links = links.unionByName(fresh.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
         left = ranked.where("not _pivot").select("key", "rep", "away")
-        pivots *= 2
+        pivots *= 8
 
 
 def join(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
