@@ -38,6 +38,8 @@ from .tokens import slices
 #: Size classes taken together in a band, for sets of ``SMALL`` shingles and more.
 CLASSES = 4
 SMALL = 64
+#: Parts of the key space that are shuffled one after another, so that all keys are never on disk at once.
+BATCHES = 4
 #: 64-bit words of the sketch that tells apart texts of a region before their sets are compared.
 SKETCH = 8
 BITS = tuple(f"s{i}" for i in range(SKETCH))
@@ -200,8 +202,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, width: i
     ``classes``: rep and keys.
     """
     keyed = classes.where("rep is not null").select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1")
-    meeting = scratch.save(keyed.join(shared, "key").select("key", "rep", "_c"), "meeting")
+    meeting = None
+    for i in range(BATCHES):
+        part = keyed.where(F.pmod("key", F.lit(BATCHES)) == i)
+        shared = scratch.save(part.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1"), "shared")
+        found = scratch.save(part.join(shared, "key").select("key", "rep", "_c"), "meeting")
+        meeting = found if meeting is None else meeting.unionByName(found)
     # the pivot of a region is the text that agrees with most others, so that most are within r of it
     central = meeting.groupBy("rep").agg(F.sum("_c").alias("_w"))
     weighed = meeting.join(central, "rep").select("key", "rep", F.struct(F.col("_w"), -F.col("rep")).alias("_w"))
@@ -247,11 +253,13 @@ def join(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 8, den: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = scratch.save(docs.mapInArrow(_prints(width, num, den), "doc_id long, n long, h1 long, h2 long, keys array<bigint>"), "prints")
     classes = scratch.save(prints.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
+    wide, prints = prints, scratch.save(prints.select("doc_id", "n", "h1", "h2"), "rows")
+    scratch.drop(wide)
     whole = link_classes(docs, classes, scratch, width, num, den)
     own = classes.select("n", "h1", "h2", "rep")
     if whole is not None:
         own = own.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     else:
         own = own.withColumnRenamed("rep", "component")
-    rows = prints.select("doc_id", "n", "h1", "h2").join(own, ["n", "h1", "h2"], "left")
+    rows = prints.join(own, ["n", "h1", "h2"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

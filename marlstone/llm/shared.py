@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that part words.
 BLANKS = " \t\n\x0b\x0c\r"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -42,7 +44,12 @@ class Scratch:
         """Write ``df`` as Parquet and return the written table."""
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP)
+        conf.set(_CLEANUP, "true")  # the table is written once, so its shuffles can go with the query
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
