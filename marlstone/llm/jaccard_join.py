@@ -196,6 +196,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.withColumn("linked", den * F.col("common") >= num * F.col("total"))
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that their sketches allow to link; only these move whole sets."""
+    side = lambda k: sets.select(F.col("id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("size", *BITS)))
+    bits = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in BITS), F.lit(0))
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(bits * (den + num) <= (F.col("x_size") + F.col("y_size")) * (den - num)).select("x", "y")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame | None:
     """(node, component) over representatives of equal sets; None without any region of two.
 
@@ -220,10 +227,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, width: i
     texts = docs.join(involved, "doc_id", "left_semi").select("doc_id", "text")
     sets = scratch.save(texts.mapInArrow(_full_sets(width), f"id long, size long, {', '.join(b + ' long' for b in BITS)}, grams array<bigint>"), "sets")
 
-    met = scratch.save(_verified(regions.where("rep <> p").select(F.col("rep").alias("x"), F.col("p").alias("y")).distinct(), sets, num, den), "met")
+    first = regions.where("rep <> p").select(F.col("rep").alias("x"), F.col("p").alias("y")).distinct()
+    met = scratch.save(_verified(_possible(first, sets, num, den), sets, num, den), "met")
     links = met.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     away = met.select(F.col("x").alias("rep"), F.col("y").alias("p"), (F.lit(1.0) - F.col("common") / F.col("total")).alias("away"))
-    left = regions.where("rep <> p").join(away, ["rep", "p"]).select("key", "rep", "away")
+    left = regions.where("rep <> p").join(away, ["rep", "p"], "left").select("key", "rep", "away")
     radius, pivots = 1.0 - num / den + 1e-9, 1
     while True:
         whole = components(scratch, links)
@@ -238,7 +246,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, width: i
         q = ranked.where("_pivot").select("key", *(F.col(c).alias(f"_q_{c}") for c in ("rep", "away", "component", "size", *BITS)))
         bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_q_{c}"))) for c in BITS), F.lit(0))
         close = bits * (den + num) <= (F.col("size") + F.col("_q_size")) * (den - num)
-        window = F.abs(F.col("away") - F.col("_q_away")) <= radius
+        window = F.coalesce(F.abs(F.col("away") - F.col("_q_away")) <= radius, F.lit(True))  # null: not measured
         meet = ranked.join(q, (ranked["key"] == q["key"]) & (F.col("component") != F.col("_q_component")) & window & close)
         pairs = meet.select(F.greatest("rep", "_q_rep").alias("x"), F.least("rep", "_q_rep").alias("y")).distinct()
         fresh = scratch.save(_verified(pairs.join(met, ["x", "y"], "left_anti"), sets, num, den), "fresh")
