@@ -66,7 +66,9 @@ def _sized(docs: DataFrame, buckets: int, carry: bool) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, ramps=RAMPS, max_passes: int = MAX_PASSES, buckets: int = BUCKETS, carry: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, ramp, middle (words of the source up to the document's middle), passes.
+    """doc_id, source, size, bucket, place, source_size, target, ramp, middle (words of the source up to the document's middle), passes.
+
+    ``bucket`` and ``place`` tell the rows of a source apart, equal ids too.
 
     All but the sizes runs over narrow written rows. Sums along a source go through hash buckets: totals
     per bucket, their running sum, and a window within each bucket. ``carry`` adds the whole input row
@@ -82,13 +84,14 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, ramps=RAMPS, ma
     )
     starts = starts.join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
     rows = _sized(docs, buckets, True) if carry else sized
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("_upto", F.sum("size").over(inside))
+    ordered = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size")
+    inside = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumns({"_upto": F.sum("size").over(inside), "place": F.row_number().over(ordered)})
     placed = placed.join(starts, placed["source"].eqNullSafe(starts["_s"]) & (placed["_b"] == starts["_k"]))
     middle = (F.col("_start") + F.col("_upto")).cast("double") - F.col("size") / F.lit(2.0)
     fits = sum((F.when(middle + F.col("source_size") * i <= F.col("target"), 1).otherwise(0) for i in range(max_passes)), F.lit(0))
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "ramp", middle.alias("middle"),
+        "doc_id", "source", "size", F.col("_b").alias("bucket"), "place", "source_size", "target", "ramp", middle.alias("middle"),
         F.when(F.col("size") == 0, F.least(fits, F.lit(1))).otherwise(fits).cast("int").alias("passes"), *(["_doc"] if carry else []),
     )
 
@@ -108,9 +111,21 @@ def training_order(plan: DataFrame) -> DataFrame:
     return rows.orderBy("position", "source", "doc_id", "pass")
 
 
-def taken(plan: DataFrame) -> DataFrame:
-    """The digest of a mix: what it takes of every document, counted over the training order's rows."""
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).cast("long").alias("taken"))
+def taken(plan: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The digest of a mix: what it takes of every document, summed over the training order's rows.
+
+    With ``scratch`` the plan and the training order are written first; Spark would drop a sort under a sum.
+    """
+    if scratch is not None:
+        plan = scratch.save(plan, "plan")
+    order = training_order(plan)
+    if scratch is not None:
+        order = scratch.save(order, "order")
+    row = ["doc_id", "source", "size", "bucket", "place"]
+    none = plan.select(*row, "source_size", "target", F.lit(0).cast("long").alias("_n"))
+    some = order.select(*row, F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("size").alias("_n"))
+    every = none.unionByName(some).groupBy(*row).agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("_n").alias("taken"))
+    return every.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:

@@ -56,7 +56,7 @@ def op5_projection_dedup(spark, sf_dir, scratch):
 @_op
 def op6_source_mix(spark, sf_dir, scratch):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.taken(mixing.plan_mix(docs, scratch))
+    return mixing.taken(mixing.plan_mix(docs, scratch), scratch)
 
 
 @_op
