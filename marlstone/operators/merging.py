@@ -30,6 +30,25 @@ def list_diff(old: DataFrame, new: DataFrame, keys: list[str], item: str) -> Dat
     return added.unionByName(removed).unionByName(same)
 
 
+def same_lists(rows: DataFrame, key: str, item: str, seq: str, old: str, width: int = 4096) -> DataFrame:
+    """Per key with both lists (``old`` true and false): same_list, in the order of seq and item, and same_songs in any order.
+
+    No list is gathered: places come from counts per block of ``width`` seqs, their running sums and a count
+    inside the block, and both lists meet by place and by item.
+    """
+    r = rows.select(F.col(key), F.col(item).alias("_i"), F.col(seq).alias("_s"), F.col(old).alias("_o"), F.floor(F.col(seq) / width).alias("_b"))
+    running = Window.partitionBy(key, "_o").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = r.groupBy(key, "_o", "_b").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(key, "_o", "_b").orderBy("_s", "_i"))
+    placed = r.withColumn("_r", inside).join(starts, [key, "_o", "_b"]).select(key, "_i", "_o", (F.col("_from") + F.col("_r")).alias("_place"))
+    n_old, n_new = F.count_if("_o"), F.count_if(~F.col("_o"))
+    at = lambda o: F.min(F.when(F.col("_o") == o, F.col("_i")))
+    ordered = placed.groupBy(key, "_place").agg((at(True).eqNullSafe(at(False)) & (n_old == n_new)).alias("_same"), n_old.alias("_x"), n_new.alias("_y"))
+    ordered = ordered.groupBy(key).agg(F.bool_and("_same").alias("same_list"), F.sum("_x").alias("_x"), F.sum("_y").alias("_y")).where("_x > 0 and _y > 0")
+    songs = r.groupBy(key, "_i").agg((n_old == n_new).alias("_same")).groupBy(key).agg(F.bool_and("_same").alias("same_songs"))
+    return ordered.join(songs, key).select(key, "same_list", "same_songs")
+
+
 def exact_then_contained(names: DataFrame, known: DataFrame, name: str, key: str) -> DataFrame:
     """Each name with the first known key equal to it, else the first that it contains.
 

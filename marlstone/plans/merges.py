@@ -51,6 +51,30 @@ def exact_list_match(spark, sf_dir):
     return rows.where("size(x) > 0 and size(y) > 0").select("artist", (F.col("x") == F.col("y")).alias("same_list"), (F.array_sort("x") == F.array_sort("y")).alias("same_songs"))
 
 
+_WHOLE = """SELECT o_custkey AS artist, l_partkey AS title, l_orderkey AS seq, o_orderdate < TIMESTAMP '1998-01-01' AS old FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
+
+
+def _whole_lists(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("artist"), F.col("l_partkey").alias("title"), F.col("l_orderkey").alias("seq"), (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("old"))
+
+
+@query(f"""WITH a AS ({_WHOLE}), o AS (SELECT DISTINCT artist, title FROM a WHERE old), n AS (SELECT DISTINCT artist, title FROM a WHERE NOT old)
+SELECT a.artist, a.title, a.seq, CASE WHEN a.old THEN 'removed' WHEN o.title IS NULL THEN 'added' ELSE 'unchanged' END AS change
+FROM a LEFT JOIN o ON o.artist = a.artist AND o.title = a.title LEFT JOIN n ON n.artist = a.artist AND n.title = a.title WHERE NOT a.old OR n.title IS NULL""")
+def playlist_diff_whole(spark, sf_dir):
+    """playlist_diff over all lines of the lists."""
+    rows = _whole_lists(spark, sf_dir)
+    return M.list_diff(rows.where("old").drop("old"), rows.where("not old").drop("old"), ["artist"], "title").select("artist", "title", "seq", "change")
+
+
+@query(f"""WITH a AS ({_WHOLE}), t AS (SELECT artist, old, array_agg(title ORDER BY seq, title) AS titles FROM a GROUP BY artist, old)
+SELECT x.artist, x.titles = y.titles AS same_list, list_sort(x.titles) = list_sort(y.titles) AS same_songs FROM t x JOIN t y ON x.artist = y.artist AND x.old AND NOT y.old""")
+def exact_list_match_whole(spark, sf_dir):
+    """exact_list_match over all lines of the lists."""
+    return M.same_lists(_whole_lists(spark, sf_dir), "artist", "title", "seq", "old")
+
+
 @query("""WITH e AS (SELECT s_nationkey AS artist, s_suppkey % 40 AS slot, 1 AS source_rank, s_name AS venue, s_suppkey AS seq FROM supplier
   UNION ALL SELECT c_nationkey, c_custkey % 40, 2, c_name, c_custkey FROM customer)
 SELECT artist, slot, arg_min(venue, source_rank * 1000000000 + seq) AS first_venue, arg_max(venue, length(venue) * 10000000000 - source_rank * 1000000000 - seq) AS longest_venue, count(*) AS n FROM e GROUP BY artist, slot""")
