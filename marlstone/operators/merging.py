@@ -49,16 +49,27 @@ def same_lists(rows: DataFrame, key: str, item: str, seq: str, old: str, width:
     return ordered.join(songs, key).select(key, "same_list", "same_songs")
 
 
+def _pieces(text: Column, lengths: Column) -> Column:
+    """The distinct substrings of the given lengths."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), of)))
+
+
 def exact_then_contained(names: DataFrame, known: DataFrame, name: str, key: str) -> DataFrame:
-    """Each name with the first known key equal to it, else the first that it contains.
+    """Each name with the known key equal to it, else the first by text that it contains.
 
-    ``known`` is a short watch list (rank, key); its size bounds the broadcast.
+    Both are equi-joins: a contained key is a substring of the name with the length of a key. Only the distinct
+    lengths of keys are broadcast, in one row.
     """
-    watch = known.select(F.col(key).alias("_k"), F.col("rank").alias("_r"))
+    watch = known.select(F.col(key).alias("_k")).where("_k is not null").distinct()
     exact = names.join(watch, names[name] == watch["_k"], "left_semi").withColumn("matched", F.col(name)).withColumn("kind", F.lit("exact"))
     rest = names.join(watch, names[name] == watch["_k"], "left_anti")
-    near = first_of(rest.join(F.broadcast(watch), rest[name].contains(watch["_k"])), [name], ["_r"])
-    return exact.unionByName(near.select(*names.columns, F.col("_k").alias("matched"), F.lit("contains").alias("kind")))
+    lengths = F.broadcast(watch.agg(F.collect_set(F.length("_k")).alias("_l")))
+    # an empty name has no substring of length 1 or more, and only an empty key of length 0 is in it
+    pieces = rest.select(F.col(name).alias("_name")).where("_name <> ''").distinct().crossJoin(lengths).select("_name", F.explode(_pieces(F.col("_name"), F.col("_l"))).alias("_k"))
+    near = pieces.join(watch, "_k").groupBy("_name").agg(F.min("_k").alias("matched"))
+    near = rest.join(near, rest[name] == near["_name"]).select(*names.columns, "matched", F.lit("contains").alias("kind"))
+    return exact.unionByName(near)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

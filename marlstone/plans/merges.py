@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fact_key, name_key
@@ -116,10 +115,22 @@ def name_match_exact_then_contains(spark, sf_dir):
     """Names against a short watch list, exact first."""
     p = table(spark, sf_dir, "part").select("p_partkey", name_key(F.col("p_name")).alias("name"))
     watch = p.where("p_partkey % 97 = 0").select(F.col("name").alias("key")).union(p.where("p_partkey % 53 = 0").select(F.substring_index("name", " ", 1))).distinct()
-    watch = watch.withColumn("rank", F.row_number().over(Window.orderBy("key")))
     return M.exact_then_contained(p.select("name").distinct(), watch, "name", "key")
 
 
+@query(f"""WITH n AS (SELECT {_PART} AS name FROM part UNION SELECT {_NAME.replace("{c}", "s_name")} FROM supplier),
+k AS (SELECT DISTINCT split_part({_PART}, ' ', 1) AS key FROM part UNION SELECT {_NAME.replace("{c}", "s_name")} FROM supplier),
+e AS (SELECT name, name AS matched, 'exact' AS kind FROM n WHERE name IN (SELECT key FROM k)),
+c AS (SELECT name, min(key) AS matched, 'contains' AS kind FROM n JOIN k ON contains(name, key) WHERE name NOT IN (SELECT key FROM k) GROUP BY name)
+SELECT * FROM e UNION ALL SELECT * FROM c""")
+def name_match_whole(spark, sf_dir):
+    """The names of all parts and suppliers against all suppliers and all first words of parts, exact first."""
+    p = table(spark, sf_dir, "part").select(name_key(F.col("p_name")).alias("name"))
+    s = table(spark, sf_dir, "supplier").select(name_key(F.col("s_name")).alias("name"))
+    keys = p.select(F.substring_index("name", " ", 1).alias("key")).union(s)
+    return M.exact_then_contained(p.union(s).distinct(), keys, "name", "key")
+
+
 _LAT, _LON = "(n_nationkey * 7 % 120 - 60)::DOUBLE", "(n_nationkey * 13 % 300 - 150)::DOUBLE"
 _KM = "2 * 6371.0::DOUBLE * atan2(sqrt(h), sqrt(1 - h))"
 
