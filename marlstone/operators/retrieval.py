@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +36,61 @@ def _ranked(df: DataFrame, order: list[Column], k: int, name: str) -> DataFrame:
 
 def vector_ranked(vectors: DataFrame, key: str, vector: str, q: list[float], k: int) -> DataFrame:
     """(id, sim, vrank) of the ``k`` nearest by cosine; null vectors are left out, ties go by id."""
-    probe = F.array(*map(F.lit, q))
+    vectors, probe = vectors if q else vectors.limit(0), F.array(*map(F.lit, q)).cast("array<double>")
     scored = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.round(cosine(F.col(vector), probe), 9).alias("sim"))
     return _ranked(scored, [F.desc("sim"), F.col("id")], k, "vrank")
 
 
+def _packed(rows: int):
+    """Batches as blocks of at most ``rows`` vectors: ids and doubles at length 1 (0 for a zero vector), as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                b = whole.slice(i, rows)
+                m = np.array(b.column("v").to_pylist(), dtype=np.float64)
+                norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+                yield pa.RecordBatch.from_pydict({"ids": [np.array(b.column("id").to_pylist(), dtype=np.int64).tobytes()], "m": [m.tobytes()]})
+
+    return run
+
+
+def _nearest(k: int):
+    """The first ``k`` rows for each query, over all blocks that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("sim", pa.float64())])
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # by block of queries: ids and similarities, one line a query
+        for b in batches:
+            for r in b.to_pylist():
+                vi = np.frombuffer(r["ids"], np.int64)
+                q = np.frombuffer(r["q_m"]).reshape(len(r["q_ids"]) // 8, -1)
+                sims = np.round(q @ np.frombuffer(r["m"]).reshape(len(vi), -1).T, 9)
+                ids = np.broadcast_to(vi, sims.shape)
+                if r["q_ids"] in best:
+                    ids, sims = np.hstack([best[r["q_ids"]][0], ids]), np.hstack([best[r["q_ids"]][1], sims])
+                first = np.lexsort((ids, -sims), axis=1)[:, :k]
+                best[r["q_ids"]] = np.take_along_axis(ids, first, 1), np.take_along_axis(sims, first, 1)
+        for key, (ids, sims) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(key, np.int64), ids.shape[1])), pa.array(ids.ravel()), pa.array(sims.ravel())], schema=schema)
+
+    return run
+
+
+def vectors_ranked(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, rows: int = 1000) -> DataFrame:
+    """(query_id, id, sim, vrank): for every row of ``queries`` the ``k`` nearest rows of ``vectors`` by cosine.
+
+    Both sides are packed into blocks of ``rows`` without a shuffle; a task gives ``k`` rows a query over all
+    blocks that it meets, of which the first ``k`` stay. Null vectors are left out, ties go by id.
+    """
+    pack = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_packed(rows), "ids binary, m binary")
+    met = pack(vectors).repartition(vectors.sparkSession.sparkContext.defaultParallelism).crossJoin(pack(queries).toDF("q_ids", "q_m"))
+    near = met.mapInArrow(_nearest(k), "query_id long, id long, sim double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+    return near.withColumn("vrank", rank).where(F.col("vrank") <= k)
+
+
 def keyword_ranked(docs: DataFrame, key: str, text: str, terms, k: int) -> DataFrame:
     """(id, score, krank) of texts that hold all terms, by how often they do."""
     t = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("_t"))

@@ -28,7 +28,8 @@ _KEY = (
 
 
 def _query_vector(spark, sf_dir):
-    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+    row = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return [float(x) for x in row[0]] if row and row[0] else []
 
 
 @query(f"SELECT vec_id, round(sim, 6) AS similarity, CAST(row_number() OVER (ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM ({_SIM}) QUALIFY rank <= {K}")
@@ -37,6 +38,20 @@ def vector_topk(spark, sf_dir):
     return top.select(F.col("id").alias("vec_id"), F.round("sim", 6).alias("similarity"), F.col("vrank").alias("rank"))
 
 
+_ALL = (
+    "SELECT query_id, vec_id, round(" + _DOT.format(a="embedding", b="q") + " / (sqrt(" + _DOT.format(a="embedding", b="embedding")
+    + ") * sqrt(" + _DOT.format(a="q", b="q") + ")), 9) AS sim FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
+)
+
+
+@query(f"SELECT query_id, vec_id, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM ({_ALL}) QUALIFY rank <= {K}")
+def vector_topk_whole(spark, sf_dir):
+    """vector_topk for every query: all rows whose id is divisible by 20, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    top = R.vectors_ranked(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", K)
+    return top.select("query_id", F.col("id").alias("vec_id"), F.round("sim", 6).alias("similarity"), F.col("vrank").alias("rank"))
+
+
 @query(f"SELECT id AS doc_id, CAST(score AS BIGINT) AS score, CAST(krank AS INTEGER) AS rank FROM ({_KEY.replace("{n}", str(K))})")
 def keyword_topk(spark, sf_dir):
     return R.keyword_ranked(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS, K).select(F.col("id").alias("doc_id"), "score", F.col("krank").alias("rank"))
