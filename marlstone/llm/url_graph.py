@@ -14,6 +14,7 @@ are kept unless named like a result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,10 @@ RULES = (
     PathRule("com/de/", False),
 )
 DAMPING = 0.85
+#: Rounds of the SQL.
 ROUNDS = 8
+#: The largest change of a score after which the rounds end.
+TOLERANCE = 1e-5
 THRESHOLD = 0.01
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -88,9 +92,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(side, host, score) from ``seeds`` (side 1 trust, 0 distrust; host).
 
+    Rounds go on until no score changes by more than ``TOLERANCE``, which the damping brings about, or for ``rounds``.
+
     Both directions are one set of weighted arcs, so a round is one join and one sum, combined before the
     shuffle. A round is written out, which bounds the plan and what a lost executor costs.
     """
@@ -103,13 +109,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     score = start
     if arcs.isEmpty():
         return score
-    for i in range(rounds):
+    for i in count() if rounds is None else range(rounds):
+        before = score
         moved = score.join(arcs, (score["side"] == arcs["side"]) & (score["host"] == arcs["src"])).select(score["side"], F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         score = scratch.save(moved.unionByName(start).groupBy("side", "host").agg(F.sum("score").alias("score")), f"round{i}")
+        if rounds is None:
+            old = before.select("side", "host", F.col("score").alias("_old"))
+            change = score.join(old, ["side", "host"], "left").agg(F.max(F.abs(F.col("score") - F.coalesce("_old", F.lit(0.0))))).first()[0]
+            if change is None or change <= TOLERANCE:
+                break
     return score
 
 
-def judge(pages: DataFrame, scratch: Scratch, rules: tuple[PathRule, ...] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, scratch: Scratch, rules: tuple[PathRule, ...] = RULES, threshold: float = THRESHOLD, rounds: int | None = None) -> DataFrame:
     """Every page with host, path, rule and verdict."""
     ruled = with_rules(pages, rules)
     edges = scratch.save(host_edges(ruled), "edges")
