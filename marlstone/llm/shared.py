@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,15 @@ _local_scratch: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a new temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a new temporary one, but only for a local master: executors of a cluster would each
+    write to a disk of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         root = _local_scratch.setdefault(key, "")
         if not root:
@@ -36,6 +45,7 @@ class Scratch:
     """Written tables of one query run; they cut lineage, so a lost executor costs only its own tasks."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{scratch_root(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
         self.n = 0
@@ -53,11 +63,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that nothing reads any more."""
+        """Delete the tables saved here that ``df`` reads and nothing reads any more."""
         jvm = self.spark._jvm
+        own = jvm.org.apache.hadoop.fs.Path(self.base).toUri().getPath()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.startswith(self.base) or "/marlstone/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.toUri().getPath().startswith(own + "/"):
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -75,6 +86,36 @@ def ship(spark: SparkSession) -> None:
     sc._marlstone_shipped = True
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal ``names``, group by group, from batches in which such rows follow one another.
+
+    Only one batch and one open group are held at a time.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, at: int) -> tuple:
+        return tuple(batch.column(c)[at].as_py() for c in names)
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for c in names:
+            x = batch.column(c).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        new[0] = bool(held) and key(held[-1], held[-1].num_rows - 1) != key(batch, 0)
+        cuts = [0, *np.flatnonzero(new).tolist(), n]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if k and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
