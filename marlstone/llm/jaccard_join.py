@@ -15,9 +15,9 @@ members are one.
 Pivots. A region's pivot is the member that is in most regions; members within the radius link to it. A
 region whose other members are not all connected goes on: where it is large, several pivots cut it into
 Voronoi cells, each member goes to its nearest pivot and, as a copy, to every pivot that the triangle
-inequality leaves possible, its own distance plus two radii; cells are cut again until they are small. A
-cell that keeps more than half of its region, as its members are all about as far from each other, is
-compared in blocks instead. In a cell the nearest pairs of different components are verified by their whole
+inequality leaves possible, its own distance plus two radii; cells are cut again until they are small. Where
+that would spare less than half of the pairs, as all members are about as far from each other, no row is
+copied and the members are compared in blocks. In a cell the nearest pairs of different components are verified by their whole
 sets first, and more pairs in each round, until none is left that could link. All of this is exact.
 
 Nulls and texts without words have an empty set and link with nothing. Texts with fewer words than a
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, let, sorted_groups
+from .shared import Scratch, components, sorted_groups
 from .tokens import slices
 
 #: Size classes taken together in a band, for sets of ``SMALL`` shingles and more.
@@ -47,8 +47,9 @@ SMALL = 64
 BATCHES = 4
 #: Members of a region that one task compares at once; larger regions are cut.
 CELL = 256
-#: Pivots that cut a large region.
-PIVOTS = 16
+#: Pivots that cut a large region, and members of a block where pivots would not spare half of its pairs.
+PIVOTS = 8
+BLOCK = 2048
 #: Sets whose keys a task remembers, so that it gives those of a repeated set once.
 REMEMBERED = 200_000
 
@@ -259,7 +260,7 @@ def regions_of(prints: DataFrame, scratch: Scratch) -> DataFrame:
         part = prints.where(F.size(keys) > 0).select("node", "band", "least", F.explode(keys).alias("key"))
         often = part.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("c")).where("_lo <> _hi").select("key", "c")
         often = scratch.save(often, "often")
-        found = scratch.save(part.join(often, "key").groupBy("node", "band", "least", "key", "c").agg(F.lit(1).alias("_")).drop("_"), "shared")
+        found = scratch.save(part.join(often.hint("merge"), "key").groupBy("node", "band", "least", "key", "c").agg(F.lit(1).alias("_")).drop("_"), "shared")
         scratch.drop(often)
         shared_parts = found if shared_parts is None else shared_parts.unionByName(found)
     own = Window.partitionBy("node", "band")
@@ -269,7 +270,7 @@ def regions_of(prints: DataFrame, scratch: Scratch) -> DataFrame:
     name = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
     prints_of = necessary.groupBy("key").agg(F.count("*").alias("c"), name(1).alias("f"), name(2).alias("g")).where("c > 1")
     once = prints_of.groupBy("c", "f", "g").agg(F.min("key").alias("key")).select("key")
-    regions = scratch.save(necessary.join(once, "key", "left_semi"), "regions")
+    regions = scratch.save(necessary.join(once.hint("merge"), "key", "left_semi"), "regions")
     scratch.drop(necessary)
     return regions
 
@@ -278,7 +279,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """(x, y, linked) by the sets themselves; a set of many pairs is a row that skew joins repeat."""
     a = sets.select(F.col("node").alias("x"), F.col("grams").alias("_gx"))
     b = sets.select(F.col("node").alias("y"), F.col("grams").alias("_gy"))
-    both = pairs.join(a, "x").join(b, "y").select("x", "y", F.size(F.array_intersect("_gx", "_gy")).alias("_c"), (F.size("_gx") + F.size("_gy")).alias("_s"))
+    both = pairs.join(a.hint("merge"), "x").join(b.hint("merge"), "y").select("x", "y", F.size(F.array_intersect("_gx", "_gy")).alias("_c"), (F.size("_gx") + F.size("_gy")).alias("_s"))
     return both.select("x", "y", (F.col("_c").cast("long") * (num + den) >= F.col("_s").cast("long") * num).alias("linked"))
 
 
@@ -294,25 +295,20 @@ def _far(num: int, den: int) -> Column:
     return F.floor((n + F.floor(n * den / num)) * (den - num) / (den + num)).cast("long") + 1
 
 
-def voronoi_cells(members: DataFrame, scratch: Scratch, num: int, den: int, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
+def voronoi_cells(members: DataFrame, scratch: Scratch, num: int, den: int, cell: int = CELL, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """Members (key, node, band, size, bits, component) of regions as rows of small cells.
 
     Result: cell, i, j (block pair), asks, answers, node, size, bits. Each linked pair of a region has a cell
     and block pair where one of the two asks and the other answers.
     """
     row = ["cell", "home", "node", "size", "bits", "component"]
-    open_, done, level = members.withColumn("cell", F.col("key")).withColumn("home", F.lit(True)).select(*row, F.lit(1 << 62).alias("_parent")), [], 0
+    out = ["cell", "i", "j", "asks", "answers", "node", "size", "bits"]
+    open_, done, level = members.withColumn("cell", F.col("key")).withColumn("home", F.lit(True)).select(*row), [], 0
     while True:
         size = open_.groupBy("cell").agg(F.count("*").alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
         sized = scratch.save(open_.join(size.where("_lo <> _hi").select("cell", "_n"), "cell"), "cells")
-        small, stuck = F.col("_n") <= cell, F.col("_n") * 2 > F.col("_parent")
-        done.append(sized.where(small).select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("asks"), F.lit(True).alias("answers"), "node", "size", "bits"))
-        many = F.ceil(F.col("_n") / cell).cast("int")
-        blocks = sized.where(~small & stuck).withColumn("_own", F.pmod(F.xxhash64("node"), many).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), many - 1)))
-        asks = blocks.where("home").select("cell", F.col("_own").alias("i"), F.col("_other").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers"), "node", "size", "bits")
-        answers = blocks.select("cell", F.col("_other").alias("i"), F.col("_own").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers"), "node", "size", "bits")
-        done += [asks, answers]
-        large = sized.where(~small & ~stuck)
+        done.append(sized.where(F.col("_n") <= cell).select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("asks"), F.lit(True).alias("answers"), "node", "size", "bits"))
+        large = sized.where(F.col("_n") > cell)
         if large.isEmpty():
             break
         level += 1
@@ -321,16 +317,26 @@ def voronoi_cells(members: DataFrame, scratch: Scratch, num: int, den: int, cell
         chosen = chosen.groupBy("cell").agg(F.collect_list("bits").alias("_pivots"))
         away = large.join(chosen, "cell").withColumn("_away", F.transform("_pivots", lambda p: apart(p, F.col("bits")))).drop("_pivots")
         nearest = F.array_min("_away")
-        window = lambda d: d <= nearest + 2 * _far(num, den)
-        own = F.array_position("_away", nearest).cast("int") - 1
-        moved = away.withColumn("_own", own).select("*", F.posexplode("_away").alias("_p", "_d")).where(window(F.col("_d")))
-        open_ = moved.select(
-            F.xxhash64(F.lit(level), "cell", "_p").alias("cell"), (F.col("home") & (F.col("_p") == F.col("_own"))).alias("home"), "node", "size", "bits", "component", F.col("_n").alias("_parent")
-        )
-    out = done[0]
+        fits = F.transform("_away", lambda d: d <= nearest + 2 * _far(num, den))
+        away = scratch.save(away.select(*row, "_n", (F.array_position("_away", nearest).cast("int") - 1).alias("_own"), fits.alias("_fits")).withColumn("_own", F.when(F.col("home"), F.col("_own"))), "away")
+        # what each pivot's cell would hold, before any row is copied
+        ask, hold = [F.count_if(F.col("_own") == p) for p in range(pivots)], [F.count_if(F.coalesce(F.get("_fits", F.lit(p)), F.lit(False))) for p in range(pivots)]
+        pairs = sum((a.cast("double") * b for a, b in zip(ask, hold)), F.lit(0.0))
+        judged = away.groupBy("cell").agg((pairs * 2 <= F.count_if("home").cast("double") * F.count("*")).alias("_cut"))
+        judged = away.join(judged, "cell")
+        moved = judged.where("_cut").select(*row, "_own", F.posexplode("_fits").alias("_p", "_in")).where("_in")
+        open_ = moved.select(F.xxhash64(F.lit(level), "cell", "_p").alias("cell"), F.coalesce(F.col("_p") == F.col("_own"), F.lit(False)).alias("home"), *row[2:])
+        many = F.ceil(F.col("_n") / block).cast("int")
+        blocks = judged.where("not _cut").withColumn("_b", F.pmod(F.xxhash64("node"), many).cast("int"))
+        whole = blocks.where(F.col("_n") <= block).select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("asks"), F.lit(True).alias("answers"), "node", "size", "bits")
+        spread = blocks.where(F.col("_n") > block).withColumn("_other", F.explode(F.sequence(F.lit(0), many - 1)))
+        asks = spread.where("home").select("cell", F.col("_b").alias("i"), F.col("_other").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers"), "node", "size", "bits")
+        answers = spread.select("cell", F.col("_other").alias("i"), F.col("_b").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers"), "node", "size", "bits")
+        done += [x.select(*out) for x in (whole, asks, answers)]
+    every = done[0]
     for d in done[1:]:
-        out = out.unionByName(d)
-    return scratch.save(out, "compared")
+        every = every.unionByName(d)
+    return scratch.save(every, "compared")
 
 
 def _closest(num: int, den: int, limit: int):
@@ -376,8 +382,8 @@ def link_classes(docs: DataFrame, prints: DataFrame, reps: DataFrame, scratch: S
     if regions.isEmpty():
         return None
     involved = scratch.save(regions.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")), "involved")
-    texts = docs.join(involved.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_full_sets(width, num, den), SETS).join(involved.select("node"), "node", "left_semi")
+    texts = docs.join(involved.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(_full_sets(width, num, den), SETS).join(involved.select("node").hint("merge"), "node", "left_semi")
     sets = scratch.save(sets.dropDuplicates(["node"]), "sets")
     sketches = scratch.save(sets.select("node", "size", F.explode("sketches").alias("s")).select("node", "size", "s.band", "s.bits"), "sketches")
 
@@ -389,15 +395,14 @@ def link_classes(docs: DataFrame, prints: DataFrame, reps: DataFrame, scratch: S
     near = apart(F.col("_x"), F.col("_y")) * (den + num) <= (F.col("_nx") + F.col("_ny")) * (den - num)
     pairs = first.where(near).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     met = scratch.save(_verified(pairs, sets, num, den), "met")
-    links = met.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    whole = components(scratch, links)
+    whole = components(scratch, met.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     named = lambda df: df.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = named(placed).groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
     members = named(placed.join(split, "key", "left_semi").select("key", "node", "band")).join(sketches, ["node", "band"])
     cells = voronoi_cells(members, scratch, num, den, cell)
     scratch.drop(placed)
-    limit = 4
+    limit = 16
     while True:
         sides = named(cells)
         mixed = sides.groupBy("cell", "i", "j").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("cell", "i", "j")
@@ -409,13 +414,14 @@ def link_classes(docs: DataFrame, prints: DataFrame, reps: DataFrame, scratch: S
         fresh = found.where("x is not null").select("x", "y").distinct().join(met.select("x", "y"), ["x", "y"], "left_anti")
         fresh = scratch.save(_verified(fresh, sets, num, den), "met")
         met = met.unionByName(fresh)
-        links = links.unionByName(fresh.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        whole = components(scratch, links)
+        new = fresh.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        if not new.isEmpty():
+            whole = components(scratch, whole.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
         left = found.where("x is null").select("cell", "i", "j")
         if left.isEmpty():
             return whole
         cells = scratch.save(cells.join(left, ["cell", "i", "j"], "left_semi"), "compared")
-        limit *= 8
+        limit *= 16
 
 
 def join(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 8, den: int = 10, cell: int = CELL) -> DataFrame:
@@ -433,5 +439,5 @@ def join(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 8, den: i
         linked = grouped.join(least, "component").select("node", "component_id")
         own = own.join(linked.select("node", F.col("component_id").alias("_c")), "node", "left").select("node", F.coalesce("_c", "component_id").alias("component_id"))
     own = scratch.save(own, "own")
-    out = rows.join(own, "node", "left")
+    out = rows.join(own.hint("merge"), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

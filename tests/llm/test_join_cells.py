@@ -59,7 +59,7 @@ def test_cells_hold_every_linked_pair(spark, scratch):
     grams = {i: np.unique(np.array([hash(g) & ((1 << 63) - 1) for g in s], np.uint64)) for i, s in sets.items()}
     rows = [(7, i, 0, len(g), jaccard_join.parity_sketch(g, 160).tolist(), i) for i, g in grams.items()]
     members = spark.createDataFrame(rows, "key long, node long, band int, size long, bits array<long>, component long")
-    cells = jaccard_join.voronoi_cells(members, scratch, 9, 10, cell=30, pivots=8).collect()
+    cells = jaccard_join.voronoi_cells(members, scratch, 9, 10, cell=30, pivots=8, block=50).collect()
     groups = {}
     for r in cells:
         groups.setdefault((r["cell"], r["i"], r["j"]), []).append(r)
