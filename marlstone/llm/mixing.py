@@ -7,7 +7,8 @@ the ``t`` at which ``W`` reaches the middle of its words, found by inverting ``W
 that must give more words than it has come again in a second and third pass. Positions are range-sorted.
 
 Nulls: a null text has size 0; null sources are one source, ordered last. A document of size 0 comes at
-most once. Repeated rows are documents of their own. An empty table gives an empty result. A table
+most once. Repeated rows are documents of their own, and rows that are equal in all columns may stand for each
+other. An empty table gives an empty result. A table
 without any word has targets of 0. Columns of the input are kept unless named like a result.
 """
 
@@ -57,24 +58,25 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, ramps=RAMPS, max_passes: i
     return s.select("source", "source_size", F.when(F.col("_capped"), F.col("cap").cast("double")).otherwise(shared).alias("target"), "ramp")
 
 
-def _sized(docs: DataFrame, buckets: int, carry: bool) -> DataFrame:
+def _row_names(docs: DataFrame) -> list[Column]:
+    """Two hashes of a whole row; rows of equal names are the same row repeated."""
+    return [F.xxhash64(F.lit(k), *(docs[c] for c in docs.columns)).alias(f"_row{k}") for k in (1, 2)]
+
+
+def _sized(docs: DataFrame, buckets: int) -> DataFrame:
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    cols = [F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), h.alias("_h")]
-    if carry:
-        cols.append(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
-    return docs.select(*cols).withColumn("_b", F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") % buckets)
+    rows = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), h.alias("_h"), *_row_names(docs))
+    return rows.withColumn("_b", F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") % buckets)
 
 
-def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, ramps=RAMPS, max_passes: int = MAX_PASSES, buckets: int = BUCKETS, carry: bool = False) -> DataFrame:
+def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, ramps=RAMPS, max_passes: int = MAX_PASSES, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, size, bucket, place, source_size, target, ramp, middle (words of the source up to the document's middle), passes.
 
-    ``bucket`` and ``place`` tell the rows of a source apart, equal ids too.
-
-    All but the sizes runs over narrow written rows. Sums along a source go through hash buckets: totals
-    per bucket, their running sum, and a window within each bucket. ``carry`` adds the whole input row
-    as ``_doc``; it then moves once, with the window.
+    ``bucket`` and ``place`` tell the rows of a source apart, equal ids too; ``_row1`` and ``_row2`` name the
+    whole input row. All but the sizes runs over narrow written rows. Sums along a source go through hash
+    buckets: totals per bucket, their running sum, and a window within each bucket.
     """
-    sized = scratch.save(_sized(docs, buckets, False), "sized")
+    sized = scratch.save(_sized(docs, buckets), "sized")
     targets = source_targets(sized, weights, ramps, max_passes)
     running = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -83,16 +85,15 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, ramps=RAMPS, ma
         .select(F.col("source").alias("_s"), F.col("_b").alias("_k"), "_start")
     )
     starts = starts.join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    rows = _sized(docs, buckets, True) if carry else sized
-    ordered = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size")
+    ordered = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", "_row1", "_row2")
     inside = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumns({"_upto": F.sum("size").over(inside), "place": F.row_number().over(ordered)})
+    placed = sized.withColumns({"_upto": F.sum("size").over(inside), "place": F.row_number().over(ordered)})
     placed = placed.join(starts, placed["source"].eqNullSafe(starts["_s"]) & (placed["_b"] == starts["_k"]))
     middle = (F.col("_start") + F.col("_upto")).cast("double") - F.col("size") / F.lit(2.0)
     fits = sum((F.when(middle + F.col("source_size") * i <= F.col("target"), 1).otherwise(0) for i in range(max_passes)), F.lit(0))
     return placed.select(
         "doc_id", "source", "size", F.col("_b").alias("bucket"), "place", "source_size", "target", "ramp", middle.alias("middle"),
-        F.when(F.col("size") == 0, F.least(fits, F.lit(1))).otherwise(fits).cast("int").alias("passes"), *(["_doc"] if carry else []),
+        F.when(F.col("size") == 0, F.least(fits, F.lit(1))).otherwise(fits).cast("int").alias("passes"), "_row1", "_row2",
     )
 
 
@@ -104,7 +105,7 @@ def position(demand: Column, ramp: Column) -> Column:
 
 
 def training_order(plan: DataFrame) -> DataFrame:
-    """One row per occurrence of a document in training, range-sorted by ``position``; ``_doc`` stays if there."""
+    """One row per occurrence of a document in training, range-sorted by ``position``."""
     rows = plan.where("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     reached = F.when(F.col("target") > 0, (F.col("middle") + F.col("pass") * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
     rows = rows.withColumn("position", position(reached, F.col("ramp"))).drop("source_size", "target", "ramp", "middle", "passes")
@@ -112,7 +113,7 @@ def training_order(plan: DataFrame) -> DataFrame:
 
 
 def taken(plan: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The digest of a mix: what it takes of every document, summed over the training order's rows.
+    """The digest of a mix: what it takes of every document and where it comes first (null: nowhere), from the training order's rows.
 
     With ``scratch`` the plan and the training order are written first; Spark would drop a sort under a sum.
     """
@@ -122,12 +123,23 @@ def taken(plan: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     if scratch is not None:
         order = scratch.save(order, "order")
     row = ["doc_id", "source", "size", "bucket", "place"]
-    none = plan.select(*row, "source_size", "target", F.lit(0).cast("long").alias("_n"))
-    some = order.select(*row, F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("size").alias("_n"))
-    every = none.unionByName(some).groupBy(*row).agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("_n").alias("taken"))
-    return every.select("doc_id", "size", "source_size", "target", "taken")
+    none = plan.select(*row, "source_size", "target", F.lit(0).cast("long").alias("_n"), F.lit(None).cast("double").alias("position"))
+    some = order.select(*row, F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("size").alias("_n"), "position")
+    every = none.unionByName(some).groupBy(*row).agg(
+        F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("_n").alias("taken"), F.min("position").alias("first_position")
+    )
+    return every.select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """The rows of ``docs``, each once per occurrence in the mix, in training order."""
-    return training_order(plan_mix(docs, scratch, carry=True, **how)).select("_doc.*")
+    """The rows of ``docs``, each once per occurrence in the mix, in training order.
+
+    Positions are worked out on narrow written rows. Whole rows move twice: to the occurrences of their name,
+    where of a repeated row one is enough, and to their place in the order.
+    """
+    order = scratch.save(training_order(plan_mix(docs, scratch, **how)).select("_row1", "_row2", "position", "source", "doc_id", "pass"), "order")
+    names = ["_row1", "_row2"]
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), *_row_names(docs))
+    once = whole.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).where("_nth = 1").drop("_nth")
+    placed = order.join(once.hint("merge"), names)
+    return placed.orderBy("position", "source", "doc_id", "pass", "_row1").select("_doc.*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .learning import coded_words, training_rows
 from .quality_rules import STOP_WORDS
-from .shared import held_out
+from .shared import held_out, ship
 from .tokens import slices
 
 MAX_TRAIN_ROWS = 20_000
@@ -143,6 +143,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Trees:
+    ship(docs.sparkSession)
     schema = "y int, " + ", ".join(f"{c} double" for c in STATISTICS)
     rows = training_rows(docs, labels, "quality", max_rows).mapInArrow(_measure, schema).toPandas()
     x = rows[list(STATISTICS)].to_numpy(float)
@@ -150,22 +151,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     return fit(x[order], rows["y"].to_numpy(float)[order])
 
 
-def _scorer(model: Trees, names: list[str]):
+def _scorer(model: Trees, names: list[str], into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=4 << 20):
                 scores = model.scores(statistics(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores)], [*names, into])
 
     return run
 
 
-def score(docs: DataFrame, model: Trees, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of every row (default: its id) and its score."""
-    keep = keep or ["doc_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    names = [c for c in docs.columns if c in keep]
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(_scorer(model, names), schema + ", score double")
+def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, into: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row (default: its id) and its score, named ``into``; a column of that name gives way."""
+    ship(docs.sparkSession)
+    names = [c for c in docs.columns if c in (keep or ["doc_id"]) and c != into]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(_scorer(model, names, into), f"{schema}`{into}` double")
 
 
 def digest(scored: DataFrame, cut: float) -> DataFrame:

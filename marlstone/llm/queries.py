@@ -120,6 +120,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def _op6_sql() -> str:
     w = ", ".join(map(str, mixing.WEIGHTS))
+    ramps = ", ".join(f"{r}::DOUBLE" for r in mixing.RAMPS)
     k, n = len(mixing.WEIGHTS), mixing.MAX_PASSES
     fits = " + ".join(f"(middle + source_size * {i} <= target)::INT" for i in range(n))
     return f"""
@@ -127,17 +128,20 @@ WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''),
         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 b AS (SELECT *, ('0x' || substr(h, 1, 6))::BIGINT % {mixing.BUCKETS} AS bucket FROM sized),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
-s1 AS (SELECT *, ([{w}])[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {k} + 1]::BIGINT AS weight, source_size * {n} AS cap FROM s0),
+s1 AS (SELECT *, ([{w}])[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {k} + 1]::BIGINT AS weight,
+        ([{ramps}])[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.RAMPS)} + 1] AS ramp, source_size * {n} AS cap FROM s0),
 s2 AS (SELECT *, sum(source_size) OVER () AS total,
         coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s1),
 s3 AS (SELECT *, cap * rest <= weight * (total - before) AS capped FROM s2),
-s4 AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE
+s4 AS (SELECT source, source_size, ramp, CASE WHEN capped THEN cap::DOUBLE ELSE
         (weight * (total - coalesce(sum(cap) FILTER (capped) OVER (), 0)))::DOUBLE / (sum(weight) FILTER (NOT capped) OVER ())::DOUBLE END AS target FROM s3),
-p AS (SELECT b.*, s4.source_size, s4.target,
+p AS (SELECT b.*, s4.source_size, s4.target, s4.ramp,
         sum(size) OVER (PARTITION BY b.source ORDER BY bucket, h, doc_id, size ROWS UNBOUNDED PRECEDING)::DOUBLE - size / 2.0::DOUBLE AS middle
-      FROM b JOIN s4 ON b.source IS NOT DISTINCT FROM s4.source)
-SELECT doc_id, size, source_size, target, (size * ({fits}))::BIGINT AS taken FROM p"""
+      FROM b JOIN s4 ON b.source IS NOT DISTINCT FROM s4.source),
+q AS (SELECT *, ({fits}) AS passes, CASE WHEN target > 0 THEN middle / target ELSE 0.0::DOUBLE END AS reached, 1.0::DOUBLE - ramp AS b FROM p)
+SELECT doc_id, size, source_size, target, (size * passes)::BIGINT AS taken, CASE WHEN passes > 0 THEN
+    least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN ramp = 0 THEN reached ELSE (sqrt(b * b + 4.0::DOUBLE * ramp * reached) - b) / (2.0::DOUBLE * ramp) END)) END AS first_position FROM q"""
 
 
 def _op10_sql() -> str:
