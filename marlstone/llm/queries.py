@@ -73,7 +73,8 @@ def op8_jaccard_join(spark, sf_dir, scratch):
 
 @_op
 def op9_tool_calls(spark, sf_dir, scratch):
-    return tool_calls.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch)
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return tool_calls.format_chats(tool_calls.with_calls(chats), scratch)
 
 
 @_op
@@ -144,6 +145,28 @@ SELECT doc_id, size, source_size, target, (size * passes)::BIGINT AS taken, CASE
     least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN ramp = 0 THEN reached ELSE (sqrt(b * b + 4.0::DOUBLE * ramp * reached) - b) / (2.0::DOUBLE * ramp) END)) END AS first_position FROM q"""
 
 
+def _op9_sql() -> str:
+    """Texts of this table hold no control characters but line feeds."""
+    q = lambda c: f"""'"' || replace(replace(replace(coalesce({c}, ''), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"'"""
+    return f"""
+WITH m AS (SELECT conv_id, turn, role, text, (turn // 2) % 4 AS kind, role = 'assistant' AS asks, role = 'user' AND turn > 1 AS answers FROM conversations),
+a AS (SELECT conv_id, turn FROM m WHERE asks), r AS (SELECT conv_id, turn FROM m WHERE answers),
+j AS (SELECT m.*, a1.turn IS NOT NULL AS e1, a2.turn IS NOT NULL AS e2, a3.turn IS NOT NULL AS e3, r.turn AS result, b.turn IS NOT NULL AS answered FROM m
+  LEFT JOIN a a1 ON a1.conv_id = m.conv_id AND a1.turn = m.turn - 2 LEFT JOIN a a2 ON a2.conv_id = m.conv_id AND a2.turn = m.turn - 4
+  LEFT JOIN a a3 ON a3.conv_id = m.conv_id AND a3.turn = m.turn - 6 LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn + 1
+  LEFT JOIN a b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1),
+l AS (SELECT *, CASE WHEN NOT asks THEN NULL WHEN kind = 0 THEN 0 WHEN NOT e1 THEN NULL WHEN kind = 1 THEN 1 WHEN NOT e2 THEN NULL WHEN kind = 2 THEN 2 WHEN NOT e3 THEN NULL ELSE 3 END AS level,
+  '{{"$ref":"c' || (turn - 2)::VARCHAR || '"}}' AS ref FROM j)
+SELECT conv_id, turn, role, asks::INT AS n_calls, CASE WHEN asks THEN (result IS NOT NULL)::INT WHEN answers THEN answered::INT ELSE 0 END AS n_linked, level::INT AS level,
+  CASE WHEN asks THEN level IS NOT NULL AND kind <> 2 AND result IS NOT NULL WHEN answers THEN answered ELSE true END AS valid,
+  CASE WHEN asks THEN [result::BIGINT] ELSE []::BIGINT[] END AS result_turns,
+  CASE WHEN asks THEN '{{"content":"","role":"assistant","tool_calls":[{{"arguments":' || CASE kind WHEN 0 THEN '{{"limit":' || turn::VARCHAR || ',"query":' || {q("text")} || '}}'
+      WHEN 1 THEN '{{"url":' || ref || '}}' WHEN 2 THEN '{{"expression":' || ref || ',"precision":"2"}}' ELSE '{{"about":' || ref || '}}' END
+      || ',"id":"c' || turn::VARCHAR || '","name":"' || ['search', 'fetch', 'calculate', 'note'][kind + 1] || '"}}]}}'
+    WHEN answers THEN '{{"content":' || {q("text")} || ',"role":"user","tool_call_id":"c' || (turn - 1)::VARCHAR || '"}}'
+    ELSE '{{"content":' || {q("text")} || ',"role":' || {q("role")} || '}}' END AS message FROM l"""
+
+
 def _op10_sql() -> str:
     rules = url_graph.RULES
     by_length = sorted(rules, key=lambda r: (-len(r.spec), r.spec))
@@ -173,4 +196,4 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ({allowed}) THEN 'allow' WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op6_source_mix": _op6_sql(), "op10_url_graph": _op10_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op6_source_mix": _op6_sql(), "op9_tool_calls": _op9_sql(), "op10_url_graph": _op10_sql()}

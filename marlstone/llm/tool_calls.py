@@ -4,20 +4,26 @@ A message's text is plain, or a JSON object: an assistant's ``{"content": ..., "
 "arguments"}]}``, or a tool's ``{"tool_call_id": ..., "content": ...}``. Calls and results meet in a hash
 join on conversation and call id. Arguments that name another call as ``{"$ref": id}`` put a call behind it;
 levels come from repeated joins until nothing changes, and calls on a cycle, or behind a missing call, have
-no level. Arguments are validated against the tool's schema (types and required names). JSON is canonical:
+no level. Calls of a message are written in topological order, by level and place, those without level
+last. Arguments are validated against the tool's schema (types and required names). JSON is canonical:
 sorted keys, no spaces, text as it is.
 
 One row per message: conv_id, turn, role, n_calls, n_linked (calls with a result, or 1 for a linked
 result), level (the deepest of its calls), valid (all calls and results are linked, ordered and follow
-their schema; plain messages are), message (canonical JSON). Nulls: a null text is an empty message, a null
-role an empty role, null ids never link. Text that is no such object is plain. Of results that repeat an id
-the first by turn is linked; repeated calls share it. Conversations of any length are never gathered. An
-empty table gives an empty result. Extra columns are not read.
+their schema; plain messages are), result_turns (of each call in written order the turn of its result, null
+without), message (canonical JSON). Nulls: a null text is an empty message, a null role an empty role, null
+ids never link. Text that is no such object is plain, and so is one that nests deeper than ``MAX_DEPTH`` or
+holds numbers that JSON has not (NaN, infinities); arguments given as such a text stay text. Of repeated keys
+the last counts. Lone surrogates become U+FFFD. Of results that repeat an id the first by turn is linked;
+repeated calls share it. Conversations of any length are never gathered. An empty table gives an empty
+result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
+from .tokens import slices
 
 #: Tool name: {argument: (JSON type, required)}; tools not listed may take any object.
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
@@ -34,13 +41,39 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
 }
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
+MAX_DEPTH = 100
+
 PARSED = """conv_id long, turn long, mid long, role string, message string, result_id string,
-calls array<struct<id: string, valid: boolean, refs: array<string>>>"""
-_CALL = pa.struct([("id", pa.string()), ("valid", pa.bool_()), ("refs", pa.list_(pa.string()))])
+calls array<struct<id: string, valid: boolean, refs: array<string>, place: int, json: string>>"""
+_CALL = pa.struct([("id", pa.string()), ("valid", pa.bool_()), ("refs", pa.list_(pa.string())), ("place", pa.int32()), ("json", pa.string())])
+_SURROGATES = re.compile("[\ud800-\udfff]")
+
+
+def clean(text: str | None) -> str | None:
+    return text if text is None else _SURROGATES.sub("\ufffd", text)
 
 
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return clean(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def load(text: str):
+    """The value of a JSON text; ValueError for what is none, nests too deeply or holds numbers beyond JSON's."""
+    try:
+        value = json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        raise ValueError("nests too deeply") from None
+    level, depth = [value], 0
+    while level:
+        depth += 1
+        if depth > MAX_DEPTH or any(isinstance(v, float) and not math.isfinite(v) for v in level):
+            raise ValueError("not a message")
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+    return value
 
 
 def follows(arguments, schema: dict | None) -> bool:
@@ -69,45 +102,45 @@ def references(value) -> list[str]:
 
 
 def parse(role: str, text: str, schemas: dict) -> tuple[str, str | None, list[dict]]:
-    """Canonical message, the call id that it answers, and its calls."""
+    """Canonical message (of one with calls the part before them), the call id that it answers, and its calls."""
     body = None
     if text[:1] == "{":
         try:
-            body = json.loads(text)
-        except (ValueError, RecursionError):
+            body = load(text)
+        except ValueError:
             body = None
-    calls, answers = [], None
-    message: dict = {"role": role, "content": text}
-    if isinstance(body, dict) and isinstance(body.get("tool_calls"), list):
-        message = {"role": role, "content": body.get("content"), "tool_calls": []}
-        for c in body["tool_calls"]:
+    if isinstance(body, dict) and isinstance(body.get("tool_calls"), list) and body["tool_calls"]:
+        calls = []
+        for place, c in enumerate(body["tool_calls"]):
             c = c if isinstance(c, dict) else {}
             arguments = c.get("arguments")
             if isinstance(arguments, str):
                 try:
-                    arguments = json.loads(arguments)
+                    arguments = load(arguments)
                 except ValueError:
                     pass
             name, key = c.get("name"), c.get("id")
-            key = key if isinstance(key, str) else None
-            message["tool_calls"].append({"id": key, "name": name, "arguments": arguments})
+            key = clean(key) if isinstance(key, str) else None
             ok = isinstance(name, str) and follows(arguments, schemas.get(name))
-            calls.append({"id": key, "valid": ok, "refs": sorted(set(references(arguments)))})
-    elif isinstance(body, dict) and isinstance(body.get("tool_call_id"), str):
-        answers = body["tool_call_id"]
-        message = {"role": role, "tool_call_id": answers, "content": body.get("content")}
-    return canonical(message), answers, calls
+            refs = sorted({clean(r) for r in references(arguments)})
+            calls.append({"id": key, "valid": ok, "refs": refs, "place": place, "json": canonical({"id": key, "name": name, "arguments": arguments})})
+        return canonical({"role": role, "content": body.get("content")})[:-1] + ',"tool_calls":[', None, calls
+    if isinstance(body, dict) and isinstance(body.get("tool_call_id"), str):
+        answers = clean(body["tool_call_id"])
+        return canonical({"role": role, "tool_call_id": answers, "content": body.get("content")}), answers, []
+    return canonical({"role": role, "content": text}), None, []
 
 
 def _parser(schemas: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            roles = [r or "" for r in b.column("role").to_pylist()]
-            found = [parse(r, t or "", schemas) for r, t in zip(roles, b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("conv_id", "turn", "mid")), pa.array(roles, pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.list_(_CALL))],
-                ["conv_id", "turn", "mid", "role", "message", "result_id", "calls"],
-            )
+        for batch in batches:
+            for b in slices(batch):
+                roles = [r or "" for r in b.column("role").to_pylist()]
+                found = [parse(r, t or "", schemas) for r, t in zip(roles, b.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c) for c in ("conv_id", "turn", "mid")), pa.array(roles, pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.list_(_CALL))],
+                    ["conv_id", "turn", "mid", "role", "message", "result_id", "calls"],
+                )
 
     return run
 
@@ -131,17 +164,16 @@ def format_chats(messages: DataFrame, scratch: Scratch, schemas: dict = SCHEMAS)
     parsed = scratch.save(rows.mapInArrow(_parser(schemas), PARSED), "parsed")
     calls = parsed.where(F.size("calls") > 0).select("mid", "conv_id", F.explode("calls").alias("c")).select("mid", "conv_id", "c.*")
     calls = scratch.save(calls, "calls")
-    results = parsed.where("result_id is not null").groupBy("conv_id", F.col("result_id").alias("id")).agg(F.min_by("mid", F.struct("turn", "mid")).alias("_result"))
-    plain = parsed.select("mid", "conv_id", "turn", "role", "message", "result_id", F.size("calls").alias("n_calls"))
-    if calls.isEmpty() and results.isEmpty():  # nothing to link: the messages are the result
-        return plain.select("conv_id", "turn", "role", "n_calls", F.lit(0).alias("n_linked"), F.lit(None).cast("int").alias("level"), F.lit(True).alias("valid"), "message")
-    levels = _levels(calls.where("id is not null"), scratch)
+    results = parsed.where("result_id is not null").groupBy("conv_id", F.col("result_id").alias("id")).agg(F.min(F.struct("turn", "mid")).alias("_result"))
+    levels = _levels(calls.where("id is not null").select("conv_id", "id", "refs"), scratch)
     linked = calls.join(results, ["conv_id", "id"], "left").join(levels, ["conv_id", "id"], "left")
-    per_message = linked.groupBy("mid").agg(
+    written = F.array_sort(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("l"), "place", F.col("_result.turn").alias("turn"), "json")))
+    per_message = linked.groupBy("mid").agg(  # the calls of one message, which came in one text
         F.count("_result").cast("int").alias("_linked"), F.max("level").alias("level"),
-        F.min(F.col("valid") & F.col("level").isNotNull() & F.col("_result").isNotNull()).alias("_calls_ok"),
+        F.min(F.col("valid") & F.col("level").isNotNull() & F.col("_result").isNotNull()).alias("_calls_ok"), written.alias("_written"),
     )
-    answered = results.join(calls.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_semi").select(F.col("_result").alias("mid"), F.lit(True).alias("_answers"))
+    answered = results.join(calls.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_semi").select(F.col("_result.mid").alias("mid"), F.lit(True).alias("_answers"))
+    plain = parsed.select("mid", "conv_id", "turn", "role", "message", "result_id", F.size("calls").alias("n_calls"))
     out = plain.join(per_message, "mid", "left").join(answered, "mid", "left")
     is_result = F.col("result_id").isNotNull()
     return out.select(
@@ -149,5 +181,28 @@ def format_chats(messages: DataFrame, scratch: Scratch, schemas: dict = SCHEMAS)
         F.when(is_result, F.coalesce("_answers", F.lit(False)).cast("int")).otherwise(F.coalesce("_linked", F.lit(0))).alias("n_linked"),
         "level",
         F.when(is_result, F.coalesce("_answers", F.lit(False))).otherwise(F.coalesce("_calls_ok", F.lit(True))).alias("valid"),
-        "message",
+        F.coalesce(F.transform("_written", lambda c: c["turn"]), F.array().cast("array<bigint>")).alias("result_turns"),
+        F.when(F.col("n_calls") > 0, F.concat("message", F.array_join(F.transform("_written", lambda c: c["json"]), ","), F.lit("]}"))).otherwise(F.col("message")).alias("message"),
+    )
+
+
+def with_calls(messages: DataFrame) -> DataFrame:
+    """Plain conversations as tool conversations: each assistant turn calls a tool, and a user's turn after the first answers the call before it.
+
+    By turn the call is a search with the turn's text, then calls of other tools that refer to the call two
+    turns before, one of them with an argument of the wrong type. Other turns stay plain.
+    """
+    kind = F.pmod(F.floor(F.col("turn") / 2), F.lit(4))
+    before = F.struct(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")).alias("$ref"))
+    arguments = (
+        F.when(kind == 0, F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("query"), F.col("turn").alias("limit"))))
+        .when(kind == 1, F.to_json(F.struct(before.alias("url"))))
+        .when(kind == 2, F.to_json(F.struct(before.alias("expression"), F.lit("2").alias("precision"))))
+        .otherwise(F.to_json(F.struct(before.alias("about"))))
     )
+    name = F.element_at(F.array(F.lit("search"), F.lit("fetch"), F.lit("calculate"), F.lit("note")), (kind + 1).cast("int"))
+    call = F.array(F.struct(F.concat(F.lit("c"), F.col("turn").cast("string")).alias("id"), name.alias("name"), arguments.alias("arguments")))
+    asks = F.to_json(F.struct(F.lit("").alias("content"), call.alias("tool_calls")))
+    answers = F.to_json(F.struct(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    text = F.when((F.col("role") == "assistant") & F.col("turn").isNotNull(), asks).when((F.col("role") == "user") & (F.col("turn") > 1), answers).otherwise(F.col("text"))
+    return messages.select("conv_id", "turn", "role", text.alias("text"))
