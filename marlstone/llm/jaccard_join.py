@@ -51,7 +51,7 @@ CELL = 256
 PIVOTS = 8
 BLOCK = 2048
 #: Sets whose keys a task remembers, so that it gives those of a repeated set once.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -184,7 +184,7 @@ def _prints(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=2 << 20):
                 sets = shingle_sets(part.column("text"), width)
                 nodes = [node_of(s) for s in sets]
                 known = part.column("doc_id").is_valid().to_pylist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept per worker; beyond that the memory starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: Bytes of text tokenised at once.
 SLICE_BYTES = 4 << 20
 

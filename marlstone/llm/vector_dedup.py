@@ -1,13 +1,15 @@
 """Embedding near-dedup by sorted projection passes, within equal labels.
 
 Equal vectors of a label are one class first. A pass gives each class a code of 64 signs of random
-projections, range-sorts by label and code, and compares each vector with a bounded window of the rows
-before it; while vectors at the window's far end still link, the window grows with them. Each task passes
-on only links that join what its own earlier links did not. Components are the union over all passes.
-Links are then counted exactly inside each component, in blocks of bounded size.
+projections, range-sorts by label and code, and compares each vector with a bounded window of the rows before it; a task
+holds one batch and one window. Each task passes on only links that join what the links before in its window
+did not. Components are the union over all passes. Links are then counted exactly inside each component, in
+blocks of bounded size.
 
 Two vectors at the threshold of 0.98 share a sign with probability 0.936, and need to share about
-``log2(rows of the label / window)`` leading signs to meet in a pass.
+``log2(rows of the label / window)`` leading signs to meet in a pass; there are as many passes as make them
+meet with probability 0.99 in the largest label, ``PASSES`` at least. A window that is cut at a partition's
+edge loses the pairs across it in that pass, at most the window's rows of each partition.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without label, link with
 nothing and are kept. Vectors of different length do not link. Repeated rows are copies of one vector. An
@@ -16,6 +18,7 @@ empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components
+from .shared import Scratch, components, sorted_groups
 
 THRESHOLD = 0.98
 PASSES = 8
 #: Passes that are sorted in one shuffle.
 TOGETHER = 4
 WINDOW = 128
+#: 1 - arccos(0.98) / pi
+SHARED_SIGN = 0.936
 BLOCK = 1024
 
 
@@ -38,11 +43,6 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held).combine_chunks() if held else None
-
-
 def _runs(table: pa.Table, names: list[str]) -> Iterator[tuple[int, int]]:
     """Starts and ends of rows with equal values in ``names``, in a sorted table."""
     n = table.num_rows
@@ -83,60 +83,73 @@ def _codes(first: int, many: int):
     return run
 
 
-def _windows(x: np.ndarray, ids: np.ndarray, threshold: float, window: int) -> list[tuple[int, int]]:
-    """Links among consecutive rows that join rows not yet joined by links found before."""
-    out, root = [], np.arange(len(x))
-    low = 0
-    for start in range(0, len(x), window):
-        end = min(len(x), start + window)
+def _windows(x: np.ndarray, root: np.ndarray, threshold: float, window: int, old: int) -> list[tuple[int, int]]:
+    """Links of the rows from ``old`` on with the ``window`` rows before each, that join what earlier links did not.
+
+    ``root`` names the part that a row is joined to so far and is brought up to date.
+    """
+    out = []
+    for start in range(old, len(x), window):
+        end, low = min(len(x), start + window), max(0, start - window)
         near = x[start:end] @ x[low:end].T >= threshold
         near &= np.arange(low, end)[None, :] < np.arange(start, end)[:, None]
-        linked = np.flatnonzero(near.any(axis=1))
-        oldest = end
-        for r in linked.tolist():
+        for r in np.flatnonzero(near.any(axis=1)).tolist():
             i, js = start + r, np.flatnonzero(near[r]) + low
-            oldest = min(oldest, int(js[0]))
             roots, at = np.unique(root[js], return_index=True)
-            for old, k in zip(roots.tolist(), at.tolist()):
-                if old != root[i]:
-                    out.append((int(ids[i]), int(ids[js[k]])))
-                    gone, kept = max(old, root[i]), min(old, root[i])
+            for other, k in zip(roots.tolist(), at.tolist()):
+                if other != root[i]:
+                    out.append((i, int(js[k])))
+                    gone, kept = max(other, root[i]), min(other, root[i])
                     part = root[low:end]
                     part[part == gone] = kept
-        low = max(0, min(oldest, end - window))
     return out
 
 
 def _neighbours(threshold: float, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(batches)
-        if table is None:
-            return
-        ids = table.column("rep").to_numpy()
-        for a, b in _runs(table, ["pass", "label", "dim"]):
-            links = np.array(_windows(_unit(table.column("vector"), a, b), ids[a:b], threshold, window), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+        run_key, x, ids, root, n = None, np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            names = table.column("rep").to_numpy()
+            links = []
+            for a, b in _runs(table, ["pass", "label", "dim"]):
+                key = tuple(batch.column(c)[a].as_py() for c in ("pass", "label", "dim"))
+                new = _unit(table.column("vector"), a, b)
+                if key != run_key:
+                    run_key, x, ids, root = key, np.zeros((0, new.shape[1])), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                old = len(x)
+                x, ids, root = np.vstack([x, new]), np.append(ids, names[a:b]), np.append(root, np.arange(n, n + b - a))
+                n += b - a
+                links += [(int(ids[i]), int(ids[j])) for i, j in _windows(x, root, threshold, window, old)]
+                x, ids, root = x[-window:], ids[-window:], root[-window:]
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return run
 
 
+def passes_for(rows: int, window: int = WINDOW, least: int = PASSES, recall: float = 0.99) -> int:
+    """Passes in which a pair at the threshold meets with probability ``recall`` in a label of ``rows`` vectors."""
+    meet = SHARED_SIGN ** max(0.0, math.log2(max(1, rows) / window))
+    return max(least, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999))))
+
+
 def _link_counts(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(batches)
-        if table is None:
-            return
-        ids, weight, asks = (table.column(c).to_numpy() for c in ("rep", "copies", "asks"))
-        for a, b in _runs(table, ["component", "i", "j"]):
-            x, who = _unit(table.column("vector"), a, b), asks[a:b]
+        for g in sorted_groups(batches, ["component", "i", "j"]):
+            ids, weight, who = (g.column(c).to_numpy() for c in ("rep", "copies", "asks"))
+            x = _unit(g.column("vector"), 0, g.num_rows)
             near = x[who == 1] @ x[who == 0].T >= threshold
-            near &= ids[a:b][who == 1][:, None] != ids[a:b][who == 0][None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][who == 1]), pa.array(near @ weight[a:b][who == 0])], ["rep", "n"])
+            near &= ids[who == 1][:, None] != ids[who == 0][None, :]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who == 1]), pa.array(near @ weight[who == 0])], ["rep", "n"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Every row as vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """Every row as vec_id, n_links, component_id, kept. Without ``passes`` their number follows the largest label."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("vector"))
     v = v.withColumn("ok", usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     v = v.withColumns({"k1": F.xxhash64("label", "vector"), "k2": F.xxhash64(F.lit(1), "vector", "label")})
@@ -146,6 +159,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     )
     narrow = classes.select(F.xxhash64("label").alias("label") if classes.schema["label"].dataType.typeName() == "string" else F.col("label").cast("long").alias("label"), "dim", "rep", F.col("vector").cast("array<double>").alias("vector") if "double" in classes.schema["vector"].dataType.simpleString() else "vector")
     kind = narrow.schema["vector"].dataType.simpleString()
+    if passes is None:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+        passes = passes_for(largest or 0, window)
     links = None
     for first in range(0, passes, TOGETHER):
         many = min(TOGETHER, passes - first)
