@@ -61,3 +61,9 @@ def german_number(value: Column, digits: int = 2) -> Column:
 def plausible_rewrite(raw: Column, new: Column) -> Column:
     """A rewrite is kept if not empty and, for texts of 80 characters and more, at least 60 % as long."""
     return F.when(F.length(F.trim(F.coalesce(new, F.lit("")))) == 0, False).when(F.length(raw) < 80, True).otherwise(F.length(new) >= F.lit(0.6) * F.length(raw))
+
+
+def title_if_lower(c: Column) -> Column:
+    """Every letter after a character that is none in upper case, for texts that are all lower case only."""
+    parts = F.transform(F.split(c, r"(?<=[^\p{L}])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)))
+    return F.when(c == F.lower(c), F.array_join(parts, "")).otherwise(c)

@@ -66,8 +66,12 @@ def new_songs(p: DataFrame, newest: int = 2, before: int = 8, least: int = 3) ->
     return recent.join(songs.where(F.col("nth") > newest).select("artist", "song").distinct(), ["artist", "song"], "left_anti")
 
 
-def badge(plays_: Column, streamed: Column, sources: Column) -> tuple[Column, Column]:
-    """Badge and score: played beats streamed beats how many sources name a song."""
-    name = F.when(plays_ > 0, "setlist").when(streamed, "spotify").when(sources >= 3, "hoch").when(sources == 2, "mittel").otherwise("niedrig")
-    score = F.when(streamed, 0.1).when(sources >= 3, 0.55).when(sources == 2, 0.35).otherwise(0.15)
+# Badges in the order in which songs are shown.
+BADGES = ("setlist", "prediction_hoch", "prediction_mittel", "prediction_niedrig", "spotify")
+
+
+def badge(frequency: Column, streamed: Column, sources: Column) -> tuple[Column, Column]:
+    """Badge and score: played songs by frequency, songs that are only streamed, others by how many sources name them."""
+    name = F.when(frequency > 0, "setlist").when(streamed, "spotify").when(sources >= 2, "prediction_hoch").when(sources == 1, "prediction_mittel").otherwise("prediction_niedrig")
+    score = F.when(frequency > 0, F.round(frequency, 2)).when(streamed, 0.1).when(sources >= 2, 0.55).when(sources == 1, 0.35).otherwise(0.15)
     return name, score

@@ -78,17 +78,17 @@ def artist_state(spark, sf_dir):
 
 @query("""SELECT c_custkey AS id, coalesce(nullif(CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END, ''), 'Unknown venue') AS venue, CASE WHEN c_acctbal > 0 THEN 'kept' ELSE 'filled' END AS how FROM customer""")
 def fill_unknown(spark, sf_dir):
-    """Empty fields get their default."""
+    """Empty fields get their default."""
     v = F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("")
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.coalesce(F.nullif(v, F.lit("")), F.lit("Unknown venue")).alias("venue"), F.when(F.col("c_acctbal") > 0, "kept").otherwise("filled").alias("how"))
 
 
 @query("""WITH t AS (SELECT l_suppkey AS artist, l_partkey AS track, min(l_shipdate) AS released FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY released DESC, track) AS n FROM t)
-SELECT artist, track, CAST(floor((n - 1) / 100) AS BIGINT) AS batch, CAST(n AS INTEGER) AS place FROM r WHERE n <= 250""")
+SELECT artist, track, CAST(floor((n - 1) / 100) AS BIGINT) AS batch, CAST(n AS INTEGER) AS place FROM r""")
 def sync_batches(spark, sf_dir):
-    """Newest tracks per artist, capped, in batches of a hundred."""
+    """All tracks per artist, newest first, in batches of a hundred."""
     t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("artist"), F.col("l_partkey").alias("track")).agg(F.min("l_shipdate").alias("released"))
-    r = t.withColumn("place", F.row_number().over(Window.partitionBy("artist").orderBy(F.desc("released"), "track"))).where("place <= 250")
+    r = t.withColumn("place", F.row_number().over(Window.partitionBy("artist").orderBy(F.desc("released"), "track")))
     return r.select("artist", "track", F.floor((F.col("place") - 1) / 100).cast("long").alias("batch"), "place")
 
 
@@ -100,7 +100,7 @@ def tracks_by_artist(spark, sf_dir):
 
 @query("""SELECT c_custkey AS id, count(l_partkey) AS songs, least(greatest(count(DISTINCT l_partkey), 5), 20) AS quota FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
 def song_quota(spark, sf_dir):
-    """Songs wanted of an artist, between two bounds."""
+    """Songs wanted of an artist, between two bounds."""
     c, o, li = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     j = c.join(o, c["c_custkey"] == o["o_custkey"], "left").join(li, li["l_orderkey"] == o["o_orderkey"], "left")
     return j.groupBy(F.col("c_custkey").alias("id")).agg(F.count("l_partkey").alias("songs"), F.least(F.greatest(F.count_distinct("l_partkey"), F.lit(5)), F.lit(20)).cast("long").alias("quota"))
@@ -108,7 +108,7 @@ def song_quota(spark, sf_dir):
 
 @query("""SELECT c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
 def followed_only(spark, sf_dir):
-    """In one list and not in another."""
+    """In one list and not in another."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderstatus")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return c.join(o.where("o_orderstatus = 'O'"), "id", "left_semi").join(o.where("o_orderstatus = 'P'"), "id", "left_anti")

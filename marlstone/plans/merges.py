@@ -26,7 +26,7 @@ def prefix_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 120).alias("_k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("_k")
 
 
-_LISTS = """SELECT o_custkey AS artist, l_partkey AS title, l_orderkey AS seq, o_orderdate < TIMESTAMP '1998-01-01' AS old FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 2"""
+_LISTS = """SELECT o_custkey AS artist, l_partkey AS title, l_orderkey AS seq, o_orderdate < TIMESTAMP '1998-01-01' AS old FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 
 
 @query(f"""WITH a AS ({_LISTS}), o AS (SELECT DISTINCT artist, title FROM a WHERE old), n AS (SELECT DISTINCT artist, title FROM a WHERE NOT old)
@@ -34,8 +34,7 @@ SELECT a.artist, a.title, a.seq, CASE WHEN a.old THEN 'removed' WHEN o.title IS
 FROM a LEFT JOIN o ON o.artist = a.artist AND o.title = a.title LEFT JOIN n ON n.artist = a.artist AND n.title = a.title WHERE NOT a.old OR n.title IS NULL""")
 def playlist_diff(spark, sf_dir):
     """What changed between two lists per artist; repeats stay."""
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    rows = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("artist"), F.col("l_partkey").alias("title"), F.col("l_orderkey").alias("seq"), (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("old"))
+    rows = _whole_lists(spark, sf_dir)
     return M.list_diff(rows.where("old").drop("old"), rows.where("not old").drop("old"), ["artist"], "title").select("artist", "title", "seq", "change")
 
 
@@ -43,11 +42,7 @@ def playlist_diff(spark, sf_dir):
 SELECT x.artist, x.titles = y.titles AS same_list, list_sort(x.titles) = list_sort(y.titles) AS same_songs FROM t x JOIN t y ON x.artist = y.artist AND x.old AND NOT y.old""")
 def exact_list_match(spark, sf_dir):
     """Equal lists, and lists that are permutations of each other."""
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    rows = o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy(F.col("o_custkey").alias("artist")).agg(
-        *(F.transform(F.array_sort(F.collect_list(F.when((F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")) == old, F.struct("l_orderkey", "l_partkey")))), lambda x: x["l_partkey"]).alias(n) for n, old in (("x", True), ("y", False)))
-    )
-    return rows.where("size(x) > 0 and size(y) > 0").select("artist", (F.col("x") == F.col("y")).alias("same_list"), (F.array_sort("x") == F.array_sort("y")).alias("same_songs"))
+    return M.same_lists(_whole_lists(spark, sf_dir), "artist", "title", "seq", "old")
 
 
 _WHOLE = """SELECT o_custkey AS artist, l_partkey AS title, l_orderkey AS seq, o_orderdate < TIMESTAMP '1998-01-01' AS old FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
@@ -89,7 +84,7 @@ def multi_source_merge(spark, sf_dir):
 
 @query("SELECT min(c_custkey) AS custkey, day, venue FROM (SELECT c_custkey, c_nationkey AS day, substr(lower(trim(coalesce(c_mktsegment, ''))), 1, 40) AS venue FROM customer) GROUP BY day, venue")
 def venue_prefix_dedup(spark, sf_dir):
-    """One event per day and start of the venue's name."""
+    """One event per day and start of the venue's name."""
     c = table(spark, sf_dir, "customer")
     return c.groupBy(F.col("c_nationkey").alias("day"), F.substring(F.lower(F.trim(F.coalesce("c_mktsegment", F.lit("")))), 1, 40).alias("venue")).agg(F.min("c_custkey").alias("custkey")).select("custkey", "day", "venue")
 
@@ -107,14 +102,14 @@ _PART = _NAME.replace("{c}", "p_name")
 
 
 @query(f"""WITH n AS (SELECT DISTINCT {_PART} AS name FROM part),
-k AS (SELECT key, row_number() OVER (ORDER BY key) AS rank FROM (SELECT DISTINCT {_PART} AS key FROM part WHERE p_partkey % 97 = 0 UNION SELECT DISTINCT split_part({_PART}, ' ', 1) FROM part WHERE p_partkey % 53 = 0)),
+k AS (SELECT DISTINCT split_part({_PART}, ' ', 1) AS key FROM part),
 e AS (SELECT name, name AS matched, 'exact' AS kind FROM n WHERE name IN (SELECT key FROM k)),
-c AS (SELECT name, arg_min(key, rank) AS matched, 'contains' AS kind FROM n JOIN k ON contains(name, key) WHERE name NOT IN (SELECT key FROM k) GROUP BY name)
+c AS (SELECT name, min(key) AS matched, 'contains' AS kind FROM n JOIN k ON contains(name, key) WHERE name NOT IN (SELECT key FROM k) GROUP BY name)
 SELECT * FROM e UNION ALL SELECT * FROM c""")
 def name_match_exact_then_contains(spark, sf_dir):
-    """Names against a short watch list, exact first."""
-    p = table(spark, sf_dir, "part").select("p_partkey", name_key(F.col("p_name")).alias("name"))
-    watch = p.where("p_partkey % 97 = 0").select(F.col("name").alias("key")).union(p.where("p_partkey % 53 = 0").select(F.substring_index("name", " ", 1))).distinct()
+    """Names against the first words of all names, exact first."""
+    p = table(spark, sf_dir, "part").select(name_key(F.col("p_name")).alias("name"))
+    watch = p.select(F.substring_index("name", " ", 1).alias("key")).distinct()
     return M.exact_then_contained(p.select("name").distinct(), watch, "name", "key")
 
 

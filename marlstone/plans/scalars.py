@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.text import title_if_lower
 from ..session import table
 from .registry import query
 
@@ -26,7 +27,7 @@ def date_functions(spark, sf_dir):
 @query("""WITH s AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y') ELSE 'soon' END AS raw FROM orders)
 SELECT id, raw, coalesce(nullif(regexp_extract(raw, '^\\d{4}-\\d{2}-\\d{2}'), ''), nullif(regexp_extract(raw, '^\\d{4}-\\d{2}'), '') || '-01', nullif(regexp_extract(raw, '^\\d{4}'), '') || '-01-01') AS day FROM s""")
 def date_ladder(spark, sf_dir):
-    """Day, month or year, whichever is given, as a date."""
+    """Day, month or year, whichever is given, as a date."""
     d, key = F.col("o_orderdate"), F.col("o_orderkey")
     raw = F.when(key % 4 == 0, F.date_format(d, "yyyy-MM-dd")).when(key % 4 == 1, F.date_format(d, "yyyy-MM")).when(key % 4 == 2, F.date_format(d, "yyyy")).otherwise("soon")
     part = lambda p, end: F.concat(F.nullif(F.regexp_extract("raw", p, 0), F.lit("")), F.lit(end))
@@ -34,15 +35,15 @@ def date_ladder(spark, sf_dir):
     return s.withColumn("day", F.coalesce(part(r"^\d{4}-\d{2}-\d{2}", ""), part(r"^\d{4}-\d{2}", "-01"), part(r"^\d{4}", "-01-01")))
 
 
-@query("""SELECT p_partkey AS id, split_part(p_type, ' ', 1) AS slug, regexp_extract(p_name, '^([^—·,]+)', 1) AS head, CASE WHEN p_brand = lower(p_brand) THEN upper(p_brand) ELSE p_brand END AS shown,
+@query("""SELECT p_partkey AS id, split_part(p_type, ' ', 1) AS slug, regexp_extract(p_name, '^([^—·,]+)', 1) AS head, CASE WHEN p_name = lower(p_name) THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') ELSE p_name END AS shown,
 length(p_name) BETWEEN 2 AND 50 AND len(regexp_split_to_array(trim(p_name), '\\s+')) <= 5 AND regexp_matches(p_name, '\\p{L}') AND NOT regexp_matches(p_name, '[0-9]{4}') AS plausible,
 regexp_matches(lower(p_name), '\\blive\\b') AS live FROM part""")
 def name_functions(spark, sf_dir):
-    """F17, F31, F40, F43, P16, P26, P27, P28."""
+    """F31, F40, F43, P16, P26."""
     p = table(spark, sf_dir, "part")
     return p.select(
         F.col("p_partkey").alias("id"), F.substring_index("p_type", " ", 1).alias("slug"), F.regexp_extract("p_name", "^([^—·,]+)", 1).alias("head"),
-        F.when(F.col("p_brand") == F.lower("p_brand"), F.upper("p_brand")).otherwise(F.col("p_brand")).alias("shown"), rules.plausible_name(F.col("p_name")).alias("plausible"), F.lower("p_name").rlike(r"\blive\b").alias("live"),
+        title_if_lower(F.col("p_name")).alias("shown"), rules.plausible_name(F.col("p_name")).alias("plausible"), F.lower("p_name").rlike(r"\blive\b").alias("live"),
     )
 
 

@@ -81,14 +81,20 @@ def display_order_two_tier(spark, sf_dir):
     return S.plays(_p(spark, sf_dir)).withColumn("place", F.row_number().over(order)).where("place <= 5").select("artist", "song", "plays", "place")
 
 
-@query(f"""WITH s AS (SELECT song, count(DISTINCT artist) AS sources, count(CASE WHEN NOT cover THEN 1 END) AS plays, max(place) >= 5 AS streamed FROM ({_P}) GROUP BY song)
-SELECT song, CASE WHEN plays > 30 THEN 'setlist' WHEN streamed AND sources < 20 THEN 'spotify' WHEN sources >= 30 THEN 'hoch' WHEN sources >= 25 THEN 'mittel' ELSE 'niedrig' END AS badge, sources FROM s""")
+@query(f"""WITH f AS ({_PLAYS}), s AS (SELECT artist, song, count(DISTINCT concert) AS sources, max(place) >= 5 AS streamed FROM ({_P}) GROUP BY artist, song),
+b AS (SELECT s.artist, s.song, coalesce(frequency, 0) AS freq, sources, CASE WHEN streamed AND coalesce(frequency, 0) = 0 THEN 'spotify' WHEN coalesce(frequency, 0) > 0 THEN 'setlist'
+  WHEN sources >= 2 THEN 'prediction_hoch' WHEN sources = 1 THEN 'prediction_mittel' ELSE 'prediction_niedrig' END AS badge FROM s LEFT JOIN f ON f.artist = s.artist AND f.song = s.song)
+SELECT artist, song, badge, CASE badge WHEN 'spotify' THEN 0.1::DOUBLE WHEN 'setlist' THEN freq WHEN 'prediction_hoch' THEN 0.55::DOUBLE WHEN 'prediction_mittel' THEN 0.35::DOUBLE ELSE 0.15::DOUBLE END AS score,
+  CAST(row_number() OVER (PARTITION BY artist ORDER BY CASE badge WHEN 'setlist' THEN 0 WHEN 'prediction_hoch' THEN 1 WHEN 'prediction_mittel' THEN 2 WHEN 'prediction_niedrig' THEN 3 ELSE 4 END, freq DESC, song) AS INTEGER) AS place FROM b""")
 def confidence_badges(spark, sf_dir):
-    """Badge by plays, streams and the number of sources."""
-    s = _p(spark, sf_dir).groupBy("song").agg(F.count_distinct("artist").alias("sources"), F.count_if(~F.col("cover")).alias("plays"), (F.max("place") >= 5).alias("streamed"))
-    level = F.when(F.col("sources") >= 30, 3).when(F.col("sources") >= 25, 2).otherwise(1)
-    name, _ = S.badge(F.col("plays") - 30, F.col("streamed") & (F.col("sources") < 20), level)
-    return s.select("song", name.alias("badge"), "sources")
+    """Badge and score by frequency, streams and the number of sources, in the order of badges."""
+    p = _p(spark, sf_dir)
+    s = p.groupBy("artist", "song").agg(F.count_distinct("concert").alias("sources"), (F.max("place") >= 5).alias("streamed"))
+    s = s.join(S.plays(p).select("artist", "song", "frequency"), ["artist", "song"], "left").withColumn("freq", F.coalesce("frequency", F.lit(0.0)))
+    badge, score = S.badge(F.col("freq"), F.col("streamed"), F.col("sources"))
+    rank = F.array_position(F.array(*map(F.lit, S.BADGES)), F.col("badge"))
+    order = Window.partitionBy("artist").orderBy(rank, F.desc("freq"), "song")
+    return s.withColumns({"badge": badge, "score": score}).select("artist", "song", "badge", "score", F.row_number().over(order).alias("place"))
 
 
 @query(f"SELECT artist, song, frequency, frequency >= 0.75 AS core, frequency >= 0.25 AS best_of, frequency >= 0.5 AS likely FROM ({_PLAYS})")

@@ -27,14 +27,13 @@ def oldest_open_claim(spark, sf_dir):
     return r.select("id", F.when(F.col("claimed"), "laeuft").otherwise(F.col("s")).alias("state"), (F.col("s") != F.col("was")).alias("released"), "claimed")
 
 
-@query(f"WITH q AS ({_Q}) SELECT owner, arg_min(id, created) AS oldest_open, arg_max(id, created) AS newest_open, count(*) AS n FROM (SELECT owner, id, created + INTERVAL 1 MICROSECOND * 0 AS created, state FROM q) WHERE state = 'offen' GROUP BY owner HAVING count(DISTINCT created) = count(*)")
+@query(f"""WITH q AS ({_Q}), r AS (SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY created, id) AS a, row_number() OVER (PARTITION BY owner ORDER BY created DESC, id DESC) AS z FROM q WHERE state = 'offen')
+SELECT owner, max(CASE WHEN a = 1 THEN id END) AS oldest_open, max(CASE WHEN z = 1 THEN id END) AS newest_open, count(*) AS n FROM r GROUP BY owner""")
 def open_work(spark, sf_dir):
-    """Oldest and newest open work of owners, both named."""
-    q = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("owner")).agg(
-        F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("oldest_open"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest_open"),
-        F.count("*").alias("n"), F.count_distinct("o_orderdate").alias("_d"),
+    """Oldest and newest open work of owners, both named; ties go by id."""
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("owner")).agg(
+        F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("oldest_open"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest_open"), F.count("*").alias("n")
     )
-    return q.where("_d = n").drop("_d")
 
 
 def lift_samples(events):

@@ -47,11 +47,11 @@ def setlists(spark: SparkSession, path: str) -> DataFrame:
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """§1.9: log records; lines without a head continue the record before them in their file."""
     head = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) (\w+) \[([^\]]*)\] (.*)"
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     part = F.posexplode(F.split("value", r"\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} )")).alias("seq", "record")
     r = whole.select("file", part)
     pick = lambda i: F.regexp_extract("record", "(?s)" + head, i)
-    return r.where(F.col("record").rlike("(?s)" + head)).select("file", "seq", F.to_timestamp_ntz(pick(1)).alias("ts"), pick(2).alias("level"), pick(3).alias("thread"), F.rtrim(pick(4)).alias("message"))
+    return r.where(F.col("record").rlike("(?s)" + head)).select("file", "seq", F.to_timestamp_ntz(pick(1)).alias("ts"), pick(2).alias("level"), pick(3).alias("thread"), F.regexp_replace(pick(4), r"\s+$", "").alias("message"))
 
 
 def chunk_ids(chunks: DataFrame) -> DataFrame:

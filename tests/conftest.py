@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
     s = get_spark(
         "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__executorEnv__PYTHONPATH=str(ROOT), spark__driver__memory="3g", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
     )
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))

@@ -10,19 +10,24 @@ from marlstone.sources import html
 from pyspark.sql import functions as F
 
 
-def test_chunks_gather_paragraphs_and_cut_long_ones():
-    assert chunking.chunks_of("") == []
-    assert chunking.chunks_of("a\n\nb") == [("a\n\nb", None)]
-    assert chunking.chunks_of("x" * 600 + "\n\n" + "y" * 500) == [("x" * 600, None), ("y" * 500, None)]
+def chunks_of(spark, text):
+    rows = chunking.chunk_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("chunk_index").collect()
+    return [(r["content"], r["page_number"]) for r in rows]
+
+
+def test_chunks_gather_paragraphs_and_cut_long_ones(spark):
+    assert chunks_of(spark, "") == []
+    assert chunks_of(spark, "a\n\nb") == [("a\n\nb", None)]
+    assert chunks_of(spark, "x" * 600 + "\n\n" + "y" * 500) == [("x" * 600, None), ("y" * 500, None)]
     # the first paragraph after a full chunk counts without the gap, later ones with it
     parts = ["a" * 600, "b" * 500, "c" * 500, "d"]
-    assert [c for c, _ in chunking.chunks_of("\n\n".join(parts))] == ["a" * 600, "b" * 500 + "\n\n" + "c" * 500, "d"]
+    assert [c for c, _ in chunks_of(spark, "\n\n".join(parts))] == ["a" * 600, "b" * 500 + "\n\n" + "c" * 500, "d"]
     long = " ".join(["w" * 98 + "."] * 15)
-    assert [len(c) for c, _ in chunking.chunks_of(long)] == [999, 499]
+    assert [len(c) for c, _ in chunks_of(spark, long)] == [999, 499]
 
 
-def test_chunk_page_is_the_one_at_its_end():
-    got = chunking.chunks_of("[PAGE_NUM: 3]\n\nstart\n\n[PAGE_NUM: 4] more")
+def test_chunk_page_is_the_one_at_its_end(spark):
+    got = chunks_of(spark, "[PAGE_NUM: 3]\n\nstart\n\n[PAGE_NUM: 4] more")
     assert got == [("start\n\nmore", 4)]
 
 
