@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -91,13 +93,17 @@ def vectors_ranked(queries: DataFrame, vectors: DataFrame, key: str, vector: str
     return near.withColumn("vrank", rank).where(F.col("vrank") <= k)
 
 
+def _holds(text: Column, term: str) -> Column:
+    """Whether a term is among a text's tokens, without making them; a search stops at the first."""
+    edge = TOKEN.rstrip("+")
+    return F.lower(text).rlike(f"(?<!{edge}){re.escape(term)}(?!{edge})")
+
+
 def keyword_ranked(docs: DataFrame, key: str, text: str, terms, k: int) -> DataFrame:
-    """(id, score, krank) of texts that hold all terms, by how often they do."""
-    t = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("_t"))
-    for term in terms:
-        t = t.where(F.array_contains("_t", term))
+    """(id, score, krank) of texts that hold all terms, by how often they do; a text is split into tokens once."""
     wanted = F.array(*map(F.lit, terms))
-    scored = t.select("id", F.size(F.filter("_t", lambda x: F.array_contains(wanted, x))).cast("long").alias("score"))
+    found = docs.where(reduce(lambda x, y: x & y, (_holds(F.col(text), term) for term in terms), F.lit(True)))
+    scored = found.select(F.col(key).alias("id"), F.size(F.filter(tokens(F.col(text)), lambda x: F.array_contains(wanted, x))).cast("long").alias("score"))
     return _ranked(scored, [F.desc("score"), F.col("id")], k, "krank")
 
 

@@ -39,7 +39,7 @@ def toggled_songs(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS frage, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS antwort,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem)
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END NULLS FIRST) AS i FROM lineitem)
 SELECT id, count(*) AS questions, count(CASE WHEN antwort IS NULL THEN 1 END) AS open_before, count(CASE WHEN antwort IS NULL AND i <> 2 THEN 1 END) AS open_after,
   count(*) >= 2 AS accepted, count(*) + 1 AS log_entries FROM q GROUP BY id""")
 def order_questions(spark, sf_dir):
