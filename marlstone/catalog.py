@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import appearances, catalogs, edits, listings, merges, retrieval, scalars, setlists, states, texts, usage  # noqa: F401  registers queries
+from .plans import appearances, catalogs, edits, extraction, listings, merges, retrieval, scalars, setlists, states, texts, usage  # noqa: F401  registers queries
 from .plans.registry import QUERIES, SQL
 
 

@@ -13,6 +13,17 @@ REFACTOR = ("refaktor", "umbau", "umstellen", "neu organisieren", "clean up", "a
 COMPLEX = ("datenbank", "multi", "parallel", "thread", "async", "verschluesselung", "authentifizierung", "oauth", "api", "microservice", "container", "docker", "komplex")
 SIMPLE = ("klein", "kurz", "einfach", "schnell", "minimal", "typo", "rechtschreibung", "farbe", "text")
 SIMPLE_START = ("klein", "kurz", "schnell")
+TASK_PREFIXES = ("auftrag:", "aufgabe:", "to do:", "todo:", "task:")
+TASK_VERBS = (
+    "erstelle", "schreibe", "baue", "fixe", "aendere", "implementiere", "programmiere", "verwende", "ergaenze", "entferne", "optimiere", "refaktoriere", "loesche", "aktualisiere",
+    "konfiguriere", "richte", "installiere", "setze", "mache", "generiere", "fuege", "passe", "verbessere", "korrigiere",
+    "create", "write", "build", "fix", "change", "add", "implement", "program", "update", "refactor", "optimize", "delete", "configure", "setup", "make", "generate", "improve", "correct",
+)
+TASK_OBJECTS = (
+    "code", "datei", "dateien", "projekt", "funktion", "klasse", "modul", "script", "skript", "endpoint", "route", "api", "logik", "test", "tests", "backend", "frontend", "app", "programm", "robotik",
+    "sps", "steuerung", "library", "bibliothek", "paket", "abhaengigkeit", "dependency", "modell", "config", "konfiguration", "model", "seite", "seiten", "button", "oberflaeche", "design",
+    "agent", "agenten", "hermes", "server", "dienst", "service", "tool", "werkzeug", "plugin", "skill", "wissensdatenbank", "datenbank", "bug", "fehler", "syntaxfehler", "behebe",
+)
 TRIVIAL = r"(?i)^(weiter|ok(ay)?|ja|nein?|genau|aha|danke|ok|mach(ey) mal weiter|alles klar|verstanden|gut|super|lol|nop?e?)\b"
 
 
@@ -39,3 +50,14 @@ def worth_keeping(comment: Column) -> Column:
 def plausible_name(name: Column) -> Column:
     """2 to 50 characters, at most five words, a letter, and no year or number of four digits."""
     return F.length(name).between(2, 50) & (F.size(F.split(F.trim(name), r"\s+")) <= 5) & name.rlike(r"\p{L}") & ~name.rlike(r"[0-9]{4}")
+
+
+def is_task(text: Column, faithful: bool = False) -> Column:
+    """A task's prefix, or a verb and an object. ``faithful`` asks for no verb, as the rule in use never fails on it."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    prefix = F.lit(False)
+    for p in TASK_PREFIXES:
+        prefix = prefix | t.startswith(p)
+    words = F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(w, r"[?!.]+\z", ""))
+    verb = F.lit(True) if faithful else F.arrays_overlap(words, F.array(*map(F.lit, TASK_VERBS)))
+    return prefix | (verb & t.rlike("|".join(TASK_OBJECTS)))

@@ -148,3 +148,48 @@ def bm25(docs: DataFrame, key: str, text: str, terms, k1: float = 1.2, b: float
     idf = F.greatest(F.ln((F.col("_n") - F.col("_df") + F.lit(0.5)) / (F.col("_df") + F.lit(0.5))), F.lit(1e-6))
     weight = idf * F.col("_tf") * F.lit(k1 + 1) / (F.col("_tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("_dl") / F.col("_avg")))
     return scored.groupBy(key).agg(F.round(-F.sum(weight), 6).alias("bm25"))
+
+
+# Words that a search for any term leaves out.
+STOP_WORDS = (
+    "der", "die", "das", "und", "oder", "aber", "ist", "sind", "war", "waren", "ein", "eine", "einen", "einem", "eines", "den", "dem", "des", "im", "in",
+    "an", "auf", "fuer", "für", "mit", "von", "zu", "zum", "zur", "bei", "aus", "wie", "was", "wer", "wann", "wo", "warum", "welche", "welcher", "welches",
+    "ich", "du", "er", "sie", "es", "wir", "ihr", "mir", "mich", "dir", "dich", "hab", "habe", "hatte", "haben", "hat", "kann", "koennen", "können",
+    "nicht", "noch", "schon", "auch", "mal", "denn", "doch", "nur", "so",
+)
+
+
+def any_terms_query(question: Column, most: int = 12) -> Column:
+    """The first terms of a question, quoted and joined by OR; null if only short words and stop words are left."""
+    kept = F.filter(tokens(question), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
+    return F.nullif(F.array_join(F.transform(F.slice(kept, 1, most), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR "), F.lit(""))
+
+
+def cover_density(docs: DataFrame, key: str, text: str, terms) -> DataFrame:
+    """(key, density, covers) of texts with all terms: each shortest passage with all of them counts 0.1 over one
+    more than its other words. Only places of wanted terms are shuffled, and only of texts that hold all."""
+    every = F.array(*map(F.lit, terms))
+    placed = F.transform(tokens(F.col(text)), lambda w, i: F.struct(w.alias("term"), (i + 1).cast("long").alias("pos")))
+    hits = docs.select(key, F.filter(placed, lambda x: F.array_contains(every, x["term"])).alias("_h"))
+    whole = hits.where(F.size(F.array_intersect(every, F.transform("_h", lambda x: x["term"]))) == len(set(terms)))
+    at = whole.select(key, F.posexplode("_h").alias("_i", "_x")).select(key, F.col("_i").cast("long").alias("i"), "_x.term", "_x.pos")
+    seen = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col("term") == t, F.struct("i", "pos"))).over(seen) for t in terms]
+    opened = at.withColumn("_from", F.when(reduce(lambda a, b: a & b, (x.isNotNull() for x in last)), F.least(*last)))
+    moved = opened.withColumn("_before", F.lag("_from").over(Window.partitionBy(key).orderBy("i")))
+    covers = moved.where(F.col("_from").isNotNull() & (F.col("_before").isNull() | (F.col("_from.i") > F.col("_before.i"))))
+    others = (F.col("pos") - F.col("_from.pos")) - (F.col("i") - F.col("_from.i"))
+    return covers.groupBy(key).agg(F.round(F.sum(F.lit(0.1) / (F.lit(1.0) + others)), 6).alias("density"), F.count("*").alias("covers"))
+
+
+def recall(memories: DataFrame, owner: str, key: str, vector: str, q: list[float], k: int, whole: int = 300) -> DataFrame:
+    """(owner, key, how, place): all memories of an owner of at most ``whole``; else the ``k`` nearest of those with a
+    vector; else the ``k`` newest. Places are cut per task before the shuffle, so large owners do no harm."""
+    probe = F.array(*map(F.lit, q)).cast("array<double>")
+    n = memories.groupBy(owner).agg(F.count("*").alias("_n"), F.count(vector).alias("_v"))
+    m = memories.select(owner, key, F.when(F.col(vector).isNotNull(), F.round(cosine(F.col(vector), probe), 9)).alias("_sim")).join(n, owner)
+    few = m.where(F.col("_n") <= whole).select(owner, key, F.lit("all").alias("how"), F.lit(None).cast("int").alias("place"))
+    near = m.where((F.col("_n") > whole) & F.col("_sim").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("_sim"), key)))
+    newest = m.where((F.col("_n") > whole) & (F.col("_v") == 0)).withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(key))))
+    first = lambda df, how: df.where(F.col("place") <= k).select(owner, key, F.lit(how).alias("how"), "place")
+    return few.unionByName(first(near, "near")).unionByName(first(newest, "newest"))

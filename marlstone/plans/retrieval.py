@@ -95,3 +95,41 @@ s AS (SELECT tf.doc_id, round(-sum(greatest(ln((n.n - df.df + 0.5::DOUBLE) / (df
 SELECT doc_id, bm25 FROM s ORDER BY bm25, doc_id LIMIT {2 * K}""")
 def bm25_topk(spark, sf_dir):
     return R.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ANY_TERMS).orderBy("bm25", "doc_id").limit(2 * K)
+
+
+@query(f"""SELECT conv_id, turn, nullif(array_to_string(list_transform(list_slice(list_filter({_TOK}, lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in R.STOP_WORDS)})), 1, 12),
+lambda w: '"' || w || '"'), ' OR '), '') AS any_terms FROM conversations""")
+def question_terms(spark, sf_dir):
+    """Every message as a search for any of its terms."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.any_terms_query(F.col("text")).alias("any_terms"))
+
+
+_LAST = ", ".join(f"max(CASE WHEN term = '{t}' THEN {{c}} END) OVER w AS {{c}}{n}" for n, t in enumerate(TERMS))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TOK} AS toks FROM documents),
+p AS (SELECT doc_id, unnest(toks) AS term, unnest(range(1, len(toks) + 1)) AS pos FROM t WHERE len(list_distinct(list_filter(toks, lambda x: x IN {TERMS}))) = {len(TERMS)}),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM p WHERE term IN {TERMS}),
+l AS (SELECT *, {_LAST.format(c="pos")}, {_LAST.format(c="i")} FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, CASE WHEN pos0 IS NOT NULL AND pos1 IS NOT NULL AND pos2 IS NOT NULL THEN least(pos0, pos1, pos2) END AS a, least(i0, i1, i2) AS ai FROM l),
+c AS (SELECT *, lag(a) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM f)
+SELECT doc_id, round(sum(0.1::DOUBLE / (1.0::DOUBLE + (pos - a) - (i - ai))), 6) AS density, count(*) AS covers FROM c WHERE a IS NOT NULL AND (b IS NULL OR a > b) GROUP BY doc_id""")
+def cover_density_rank(spark, sf_dir):
+    """Texts with all terms by how close together these stand."""
+    return R.cover_density(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
+
+
+_MEM = "SELECT label AS owner, vec_id, CASE WHEN label % 5 <> 0 THEN embedding END AS v FROM embeddings WHERE label IS NOT NULL"
+_MEM_SIM = _DOT.format(a="v", b="q") + " / (sqrt(" + _DOT.format(a="v", b="v") + ") * sqrt(" + _DOT.format(a="q", b="q") + "))"
+
+
+@query(f"""WITH m AS ({_MEM}), n AS (SELECT owner, count(*) AS n, count(v) AS e FROM m GROUP BY owner),
+s AS (SELECT m.owner, vec_id, n, e, CASE WHEN v IS NOT NULL THEN round({_MEM_SIM}, 9) END AS sim FROM m JOIN n ON n.owner = m.owner, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY sim DESC NULLS LAST, vec_id) AS near, row_number() OVER (PARTITION BY owner ORDER BY vec_id DESC) AS late FROM s)
+SELECT owner, vec_id, CASE WHEN n <= 50 THEN 'all' WHEN e > 0 THEN 'near' ELSE 'newest' END AS how, CAST(CASE WHEN n <= 50 THEN NULL WHEN e > 0 THEN near ELSE late END AS INTEGER) AS place
+FROM r WHERE n <= 50 OR (e > 0 AND sim IS NOT NULL AND near <= {K}) OR (e = 0 AND late <= {K})""")
+def memory_recall(spark, sf_dir):
+    """Memories of each owner; the bound is 50 here instead of 300, so that all three ways occur."""
+    e = table(spark, sf_dir, "embeddings").where("label is not null")
+    m = e.select(F.col("label").alias("owner"), "vec_id", F.when(F.col("label") % 5 != 0, F.col("embedding")).alias("v"))
+    return R.recall(m, "owner", "vec_id", "v", _query_vector(spark, sf_dir), K, 50)
