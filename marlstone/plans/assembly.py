@@ -114,3 +114,22 @@ def event_answers(spark, sf_dir):
     town = F.lower(F.coalesce("v.city.name", F.lit("")))
     fits = (F.col("artist") != "") & (F.col("v").isNull() | (town == "") | town.contains("hamburg")) & ((F.col("day") == "") | (F.col("day") >= "2026-05-01"))
     return e.where(fits).select("id", "artist", "day", F.coalesce("v.name", F.lit("Hamburg")).alias("venue"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS artist, l_partkey AS song, avg(l_linenumber) AS mean, max(l_quantity) AS given FROM lineitem GROUP BY l_orderkey, l_partkey)
+SELECT artist, song, CASE artist % 3 WHEN 0 THEN mean WHEN 1 THEN given ELSE CAST(row_number() OVER (PARTITION BY artist ORDER BY song) AS DOUBLE) END AS position FROM l""")
+def entry_positions(spark, sf_dir):
+    """A song's position from the histogram's mean, else as given, else its place in the list."""
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("artist"), F.col("l_partkey").alias("song")).agg(F.avg("l_linenumber").alias("mean"), F.max("l_quantity").alias("given"))
+    mean, given = F.when(F.col("artist") % 3 == 0, F.col("mean")), F.when(F.col("artist") % 3 == 1, F.col("given"))
+    return l.select("artist", "song", F.coalesce(mean, given, F.row_number().over(Window.partitionBy("artist").orderBy("song")).cast("double")).alias("position"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS artist, l_partkey AS song FROM lineitem),
+b AS (SELECT l_orderkey AS artist, l_partkey AS song, CASE WHEN bool_or(l_returnflag = 'A') THEN 'new' END AS badge, count(*) AS score FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey, l_partkey)
+SELECT s.artist, s.song, coalesce(badge, 'setlist') AS badge, coalesce(score, 0) AS score FROM s LEFT JOIN b ON b.artist = s.artist AND b.song = s.song""")
+def snapshot_badges(spark, sf_dir):
+    """Badge and score of every song of a snapshot; "setlist" and 0 where none is known."""
+    li, pair = table(spark, sf_dir, "lineitem"), [F.col("l_orderkey").alias("artist"), F.col("l_partkey").alias("song")]
+    b = li.where("l_returnflag <> 'N'").groupBy(*pair).agg(F.when(F.bool_or(F.col("l_returnflag") == "A"), "new").alias("badge"), F.count("*").alias("score"))
+    return li.select(*pair).distinct().join(b, ["artist", "song"], "left").select("artist", "song", F.coalesce("badge", F.lit("setlist")).alias("badge"), F.coalesce("score", F.lit(0)).alias("score"))
