@@ -78,7 +78,7 @@ def artist_state(spark, sf_dir):
 
 @query("""SELECT c_custkey AS id, coalesce(nullif(CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END, ''), 'Unknown venue') AS venue, CASE WHEN c_acctbal > 0 THEN 'kept' ELSE 'filled' END AS how FROM customer""")
 def fill_unknown(spark, sf_dir):
-    """Empty fields get their default."""
+    """Empty fields get their default."""
     v = F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("")
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.coalesce(F.nullif(v, F.lit("")), F.lit("Unknown venue")).alias("venue"), F.when(F.col("c_acctbal") > 0, "kept").otherwise("filled").alias("how"))
 

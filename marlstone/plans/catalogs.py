@@ -38,7 +38,7 @@ def policy_verdict(spark, sf_dir):
 
 @query("SELECT r_name AS region, count(*) AS n, count(CASE WHEN s_acctbal > 0 THEN 1 END) AS eu, count(CASE WHEN s_acctbal <= 0 THEN 1 END) AS other FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def catalog_counts(spark, sf_dir):
-    """Flag totals by membership."""
+    """Flag totals by membership."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     j = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
     return j.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("n"), F.count_if(F.col("s_acctbal") > 0).alias("eu"), F.count_if(F.col("s_acctbal") <= 0).alias("other"))
@@ -47,7 +47,7 @@ def catalog_counts(spark, sf_dir):
 @query("""SELECT p_partkey AS id, coalesce(nullif(trim(t.c_name), ''), p_name) AS label, t.c_name IS NOT NULL AS translated FROM part LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) t ON c_custkey = p_partkey
 WHERE NOT starts_with(p_name, '~') AND NOT contains(p_name, ':free')""")
 def localised_catalog(spark, sf_dir):
-    """Translated text else the original; helper entries left out."""
+    """Translated text else the original; helper entries left out."""
     t = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("p_partkey"), "c_name")
     p = table(spark, sf_dir, "part").where(~F.col("p_name").startswith("~") & ~F.col("p_name").contains(":free")).join(t, "p_partkey", "left")
     return p.select(F.col("p_partkey").alias("id"), F.coalesce(F.nullif(F.trim("c_name"), F.lit("")), F.col("p_name")).alias("label"), F.col("c_name").isNotNull().alias("translated"))

@@ -31,7 +31,7 @@ def archive_status(spark, sf_dir):
 
 @query("SELECT conv_id, count(*) AS n_messages, substr(arg_max(text, turn), 1, 100) AS last_message, CAST(round(sum(length(text)) / 3.0::DOUBLE) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id")
 def conversation_summary(spark, sf_dir):
-    """Messages, start of the last one, estimated tokens."""
+    """Messages, start of the last one, estimated tokens."""
     c = table(spark, sf_dir, "conversations")
     return c.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.substring(F.max_by("text", "turn"), 1, 100).alias("last_message"), F.round(F.sum(F.length("text")) / F.lit(3.0)).cast("long").alias("tokens"))
 
@@ -58,7 +58,7 @@ def message_delta(spark, sf_dir):
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND n_chars >= 200 AND contains(lower(source), '1') ORDER BY doc_id LIMIT 120")
 def facet_filter(spark, sf_dir):
-    """P20: flags and a substring, capped at 120 for display."""
+    """Flags and a substring, capped at 120 for display."""
     d = table(spark, sf_dir, "documents")
     return d.where((F.col("lang") == "en") & (F.col("n_chars") >= 200) & F.lower("source").contains("1")).select("doc_id", "lang", "source").orderBy("doc_id").limit(120)
 

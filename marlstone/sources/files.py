@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +72,36 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 def without_known(new: DataFrame, stored: DataFrame) -> DataFrame:
     """V5: files whose hash is stored already are skipped."""
     return new.join(stored.select("file_hash").distinct(), "file_hash", "left_anti")
+
+
+def packed_vectors(spark: SparkSession, path: str, width: int = 1024) -> DataFrame:
+    """Rows of little-endian 32-bit floats as (file_name, row, vector); a file that ends inside a row is an error.
+
+    A file is one value of ``binaryFile`` and so below 2 GB; more files make more tasks.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                raw = content.as_buffer()
+                if raw.size % (4 * width):
+                    raise ValueError(f"{name}: {raw.size} bytes are no whole rows of {width} floats")
+                flat = np.frombuffer(raw, "<f4")
+                for begin in range(0, len(flat) // width, 4096):
+                    part = pa.array(flat[begin * width : (begin + 4096) * width])
+                    n = len(part) // width
+                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), part)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(name, n), pa.array(np.arange(begin, begin + n)), vectors], ["file_name", "row", "vector"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(unpack, "file_name string, row long, vector array<float>")
+
+
+def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents; a path that is not there gives no rows, any other failure is raised."""
+    try:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
