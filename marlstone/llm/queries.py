@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import jaccard_join, mixing, packing, quality_model, quality_rules, token_files, tool_calls, toxicity, turn_repair, url_graph, vector_dedup
+from . import jaccard_join, mixing, packing, prefix_trie, quality_model, quality_rules, token_files, tool_calls, toxicity, turn_repair, url_graph, vector_dedup
 from .shared import Scratch, held_out, ship
 
 OPS = {}
@@ -83,6 +83,11 @@ def op10_url_graph(spark, sf_dir, scratch):
     return url_graph.judge(pages, scratch).select("page_id", "host", "path", "rule", "verdict")
 
 
+@_op
+def op11_prefix_trie(spark, sf_dir, scratch):
+    return prefix_trie.of_rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch)
+
+
 @_op
 def op12_turn_repair(spark, sf_dir, scratch):
     return turn_repair.digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch)
