@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import jaccard_join, mixing, packing, prefix_trie, quality_model, quality_rules, token_files, tool_calls, toxicity, turn_repair, url_graph, vector_dedup
+from . import jaccard_join, mixing, packing, prefix_trie, quality_model, quality_rules, repeated_bytes, token_files, tool_calls, toxicity, turn_repair, url_graph, vector_dedup
 from .shared import Scratch, held_out, ship
 
 OPS = {}
@@ -93,6 +93,11 @@ def op12_turn_repair(spark, sf_dir, scratch):
     return turn_repair.digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch)
 
 
+@_op
+def op13_repeated_bytes(spark, sf_dir, scratch):
+    return repeated_bytes.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
+
+
 def queries():
     return dict(OPS)
 
