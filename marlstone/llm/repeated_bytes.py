@@ -42,14 +42,17 @@ from .shared import Scratch
 LENGTH, GRAM = 200, 25
 #: Further bytes to each side at which contexts are refined.
 LEVELS = (50, 100, 150)
+#: The name of a text.
+KEY = ["k1", "k2"]
 #: Window starts looked at together; less than 2 ** 20.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 ANCHORS = "k1 long, k2 long, at long, low int, high int, gram long, context long"
-CONTEXTS = "k1 long, k2 long, at long, single boolean, gram long, left int, right int, bytes binary, l array<long>, r array<long>"
+CONTEXTS = "k1 long, k2 long, at long, single boolean, gram long, left int, right int, bytes binary, " + ", ".join(f"{side}{n} long" for side in "lr" for n in LEVELS)
 
 _A, _B, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 256, dtype=np.uint64)
+_FACTORS = np.random.Generator(np.random.PCG64(8)).integers(0, 2**62, 5, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -66,8 +69,13 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def grams(data: np.ndarray) -> np.ndarray:
     """Identifier of the GRAM bytes from each position on."""
     x = _BYTES[data]
-    for step in (1, 2, 4, 8, 9):  # 2, 4, 8, 16 and 25 bytes
-        x = pair(x[:-step], x[step:])
+    for step, factor in zip((1, 2, 4, 8, 9), _FACTORS):  # 2, 4, 8, 16 and 25 bytes
+        y = x[:-step] * factor
+        y += x[step:]
+        x = y
+    x ^= x >> _HALF
+    x *= _B
+    x ^= x >> _HALF
     return x
 
 
@@ -78,6 +86,14 @@ def windows(g: np.ndarray) -> np.ndarray:
     return g
 
 
+def windows_at(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for some positions only."""
+    x = g[at[:, None] + np.arange(0, LENGTH, GRAM)]
+    while x.shape[1] > 1:
+        x = pair(x[:, 0::2], x[:, 1::2])
+    return x[:, 0]
+
+
 def anchors(g: np.ndarray) -> np.ndarray:
     """The anchor of the window from each position on."""
     x = (g & ~_PLACE) | np.arange(len(g), dtype=np.uint64)
@@ -105,7 +121,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.
         k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
         for a in range(0, max(int(ends[-1]) - LENGTH + 1, 0), block):
             g = grams(data[a : a + block + LENGTH - 1])
-            w, of = windows(g), anchors(g)
+            of = anchors(g)
             p = np.arange(a, a + len(of))
             row = np.searchsorted(ends, p, "right") - 1
             ok = np.flatnonzero(p + LENGTH <= ends[row + 1])
@@ -115,7 +131,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.
             low, high = ok[new], ok[np.r_[new[1:], len(ok)] - 1]
             at = of[low]
             shape = ((high - low) * 256 + (at - low)).astype(np.uint64)
-            context = pair(pair(w[low], w[high]), shape)
+            context = pair(pair(windows_at(g, low), windows_at(g, high)), shape)
             r = row[low]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1[r]), pa.array(k2[r]), pa.array(a + at - ends[r]), pa.array((at - low).astype(np.int32)), pa.array((high - at).astype(np.int32)), pa.array(g[at].view(np.int64)), pa.array(context.view(np.int64))], names
@@ -123,46 +139,34 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.
 
 
 def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes and the identifiers at each level of marked anchors, text by text."""
+    """The bytes and the identifiers at each level of marked anchors, some texts at a time."""
+    names = [c.split()[0] for c in CONTEXTS.split(", ")]
     for batch in batches:
-        data, ends = _strings(batch.column("text"))
-        out = {c.split()[0]: [] for c in CONTEXTS.split(", ")}
-        size = 0
-        for i, marks in enumerate(batch.column("marks").to_pylist()):
-            for m in marks:
-                at = int(ends[i]) + m["at"]
-                a, b = at - m["low"], at + m["high"] + LENGTH
-                left, right = _levels(grams(data[a:b]), m["low"])
-                for c, v in zip(out, (batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py(), m["at"], m["single"], m["gram"], m["low"], m["high"], data[a:b].tobytes(), left, right)):
-                    out[c].append(v)
-                size += b - a
-                if size > 8 << 20:
-                    yield _contexts(out)
-                    size = 0
-        yield _contexts(out)
-
-
-_CONTEXT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-
-
-def _contexts(out: dict) -> pa.RecordBatch:
-    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), _CONTEXT_TYPES)], list(out))
-    for v in out.values():
-        v.clear()
-    return batch
-
-
-def _levels(g: np.ndarray, at: int) -> tuple[list[int], list[int]]:
-    """Identifiers of the anchor with as many more bytes to the left and right as each level says, as far as g goes."""
-    sides = []
-    for sign, room in ((-1, at), (1, len(g) - 1 - at)):
-        found, x = [], g[at : at + 1]
-        for k in range(1, min(room, LEVELS[-1]) // GRAM + 1):
-            x = pair(x, g[at + sign * GRAM * k : at + sign * GRAM * k + 1])
-            if GRAM * k in LEVELS:
-                found.append(int(x.view(np.int64)[0]))
-        sides.append(found)
-    return sides[0], sides[1]
+        lengths = np.diff(_strings(batch.column("text"))[1])
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // (4 << 20), prepend=0)).tolist()
+        for first, last in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if first == last:
+                continue
+            part = batch.slice(first, last - first)
+            data, ends = _strings(part.column("text"))
+            marks = part.column("marks")
+            row = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy())
+            m = {f: c.to_numpy(zero_copy_only=False) for f, c in zip(("at", "low", "high", "gram", "single"), marks.flatten().flatten())}
+            at = ends[row] + m["at"]
+            a, b = at - m["low"], at + m["high"] + LENGTH
+            g, levels = grams(data) if len(data) >= GRAM else np.zeros(0, np.uint64), []
+            for sign, room in ((-1, m["low"]), (1, m["high"] + LENGTH - GRAM)):
+                x = g[at]
+                for k in range(1, LEVELS[-1] // GRAM + 1):
+                    ok = room >= GRAM * k
+                    x = pair(x, g[np.where(ok, at + sign * GRAM * k, 0)])
+                    if GRAM * k in LEVELS:
+                        levels.append(pa.array(x.view(np.int64), mask=~ok))
+            whole = data.tobytes()
+            held = [whole[i:j] for i, j in zip(a.tolist(), b.tolist())]
+            k1, k2 = (part.column(c).to_numpy()[row] for c in KEY)
+            single = pa.array(m["single"].astype(bool))
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(m["at"]), single, pa.array(m["gram"]), pa.array(m["low"]), pa.array(m["high"]), pa.array(held, pa.binary()), *levels], names)
 
 
 def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +190,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", F.length(text)).alias("k1"), F.xxhash64(text).alias("k2"))
 
 
-KEY = ["k1", "k2"]
-
-
 def _refined(contexts: DataFrame, scratch: Scratch) -> DataFrame:
-    """rid, left, right: below how many more bytes to each side a context can agree with another."""
+    """rid, n_l, n_r: below how many more bytes to each side a context can agree with another."""
     reach = {}
-    for side in ("l", "r"):
-        alive, survivors = contexts.select("rid", F.col(side).alias("ids")).where(F.size("ids") > 0), None
-        for k, _ in enumerate(LEVELS):
-            ids = alive.where(F.size("ids") > k).select("rid", "ids", F.col("ids")[k].alias("id"))
-            twice = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-            alive = scratch.save(ids.join(twice, "id").select("rid", "ids"), f"level-{side}")
+    for side in "lr":
+        ids = [f"{side}{n}" for n in LEVELS]
+        alive, survivors = contexts.select("rid", *ids), None
+        for k, id_ in enumerate(ids):
+            twice = alive.where(F.col(id_).isNotNull()).groupBy(id_).agg(F.count("*").alias("n")).where("n > 1").select(id_)
+            alive = scratch.save(alive.join(twice.hint("shuffle_hash"), id_).select("rid", *ids[k + 1 :]), f"level-{side}")
             got = alive.select("rid", F.lit(k + 1).alias("n"))
             survivors = got if survivors is None else survivors.unionByName(got)
         reach[side] = survivors.groupBy("rid").agg(F.max("n").alias(f"n_{side}"))
@@ -206,38 +207,54 @@ def _refined(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     return both.select("rid", bound(F.col("n_l")).alias("n_l"), bound(F.col("n_r")).alias("n_r"))
 
 
+def _gathered(spans: DataFrame) -> DataFrame:
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # of one text
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """k1, k2 (a text's name), spans: where repeated bytes begin and end, one span per anchor, not yet joined."""
     texts = _keyed(docs)
     long = texts.where(F.octet_length("text") >= LENGTH).select("text", *KEY)
     found = scratch.save(long.mapInArrow(lambda batches: _find_anchors(batches, block), ANCHORS), "anchors")
+
+    # grams that occur twice, and whether in different contexts; all other anchors leave
+    ends = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
+    grams_ = ends.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("shared"))
+    live = scratch.save(found.join(grams_.hint("shuffle_hash"), "gram"), "live")
+    scratch.drop(found)
     one = F.struct(*KEY, "at", "low", "high")
-    classes = scratch.save(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(one).alias("one")), "classes")
-    shared = classes.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    classes = live.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.first("shared").alias("shared"))
+    classes = scratch.save(classes.where("n > 1 or shared"), "classes")
+    often = classes.where("n > 1").select("gram", "context").hint("shuffle_hash")
+    whole = live.join(often, ["gram", "context"]).select(*KEY, (F.col("at") - F.col("low")).alias("begin"), (F.col("at") + F.col("high") + LENGTH).alias("end"))
+    whole = scratch.save(_gathered(whole), "whole")
+    scratch.drop(live)
 
     # contexts that share their gram with others: one occurrence of each, with its bytes
-    marked = classes.join(shared, "gram").select("one.*", "gram", (F.col("n") == 1).alias("single"))
-    marks = marked.groupBy(*KEY).agg(F.collect_list(F.struct("at", "low", "high", "gram", "single")).alias("marks"))
-    met = texts.select("text", *KEY).join(marks.hint("shuffle_hash"), KEY)
-    once = met.withColumn("marks", F.array_distinct("marks")).mapInArrow(_find_contexts, CONTEXTS)
+    marked = classes.where("shared").select("one.*", "gram", (F.col("n") == 1).alias("single"))
+    marks = marked.groupBy(*KEY).agg(F.collect_list(F.struct("at", "low", "high", "gram", "single")).alias("marks"))  # of one text
+    once = texts.select("text", *KEY).join(marks.hint("shuffle_hash"), KEY).mapInArrow(_find_contexts, CONTEXTS)
     contexts = scratch.save(once.withColumn("rid", F.monotonically_increasing_id()), "contexts")
+    scratch.drop(classes)
 
     # the windows that can be repeated, and which are
-    reach = scratch.save(_refined(contexts, scratch), "reach")
+    reach = _refined(contexts.select("rid", *(f"{side}{n}" for side in "lr" for n in LEVELS)), scratch)
     room, least = LENGTH - GRAM, F.lit(LEVELS[0])
     far = contexts.select("rid", *KEY, "at", "single", "gram", "left", "right", "bytes").join(reach, "rid", "left")
     first = F.greatest(-F.col("right"), F.lit(room + 1) - F.coalesce("n_r", least)).cast("int")
     last = F.least(F.col("left"), F.coalesce("n_l", least) - 1).cast("int")
     open_ = scratch.save(far.withColumns({"first": first, "last": last}).where("first <= last"), "open")
+    scratch.drop(contexts)
     starts = open_.select("rid", "gram", "left", "first", "last", "bytes").mapInArrow(_find_windows, "rid long, gram long, ahead int, window long")
     twice = scratch.save(starts.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window"), "twice")
-    covered = starts.join(twice, ["gram", "window"]).groupBy("rid").agg(F.min("ahead").alias("first"), F.max("ahead").alias("last"))
+    covered = starts.join(twice.hint("shuffle_hash"), ["gram", "window"]).groupBy("rid").agg(F.min("ahead").alias("first"), F.max("ahead").alias("last"))
     own = open_.where("single").select("rid", *KEY, "at").join(covered, "rid")
     parts = own.select(*KEY, (F.col("at") - F.col("last")).alias("begin"), (F.col("at") - F.col("first") + LENGTH).alias("end"))
-
-    often = classes.where("n > 1").select("gram", "context")
-    whole = found.join(often, ["gram", "context"]).select(*KEY, (F.col("at") - F.col("low")).alias("begin"), (F.col("at") + F.col("high") + LENGTH).alias("end"))
-    return scratch.save(parts.unionByName(whole).groupBy(*KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    both = _gathered(parts).unionByName(whole).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = scratch.save(both, "spans")
+    for t in (open_, twice, whole):
+        scratch.drop(t)
+    return spans
 
 
 def joined(spans: list[dict] | None) -> list[tuple[int, int]]:
