@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
+from ..scratch import Tables
+from .vector_index import Lists, first_k
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,56 +42,6 @@ def vector_ranked(vectors: DataFrame, key: str, vector: str, q: list[float], k:
     return _ranked(scored, [F.desc("sim"), F.col("id")], k, "vrank")
 
 
-def _packed(rows: int):
-    """Batches as blocks of at most ``rows`` vectors: ids and doubles at length 1 (0 for a zero vector), as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, rows):
-                b = whole.slice(i, rows)
-                m = np.array(b.column("v").to_pylist(), dtype=np.float64)
-                norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-                m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-                yield pa.RecordBatch.from_pydict({"ids": [np.array(b.column("id").to_pylist(), dtype=np.int64).tobytes()], "m": [m.tobytes()]})
-
-    return run
-
-
-def _nearest(k: int):
-    """The first ``k`` rows for each query, over all blocks that a task meets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("sim", pa.float64())])
-        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # by block of queries: ids and similarities, one line a query
-        for b in batches:
-            for r in b.to_pylist():
-                vi = np.frombuffer(r["ids"], np.int64)
-                q = np.frombuffer(r["q_m"]).reshape(len(r["q_ids"]) // 8, -1)
-                sims = np.round(q @ np.frombuffer(r["m"]).reshape(len(vi), -1).T, 9)
-                ids = np.broadcast_to(vi, sims.shape)
-                if r["q_ids"] in best:
-                    ids, sims = np.hstack([best[r["q_ids"]][0], ids]), np.hstack([best[r["q_ids"]][1], sims])
-                first = np.lexsort((ids, -sims), axis=1)[:, :k]
-                best[r["q_ids"]] = np.take_along_axis(ids, first, 1), np.take_along_axis(sims, first, 1)
-        for key, (ids, sims) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(key, np.int64), ids.shape[1])), pa.array(ids.ravel()), pa.array(sims.ravel())], schema=schema)
-
-    return run
-
-
-def vectors_ranked(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, rows: int = 1000) -> DataFrame:
-    """(query_id, id, sim, vrank): for every row of ``queries`` the ``k`` nearest rows of ``vectors`` by cosine.
-
-    Both sides are packed into blocks of ``rows`` without a shuffle; a task gives ``k`` rows a query over all
-    blocks that it meets, of which the first ``k`` stay. Null vectors are left out, ties go by id.
-    """
-    pack = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_packed(rows), "ids binary, m binary")
-    met = pack(vectors).repartition(vectors.sparkSession.sparkContext.defaultParallelism).crossJoin(pack(queries).toDF("q_ids", "q_m"))
-    near = met.mapInArrow(_nearest(k), "query_id long, id long, sim double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
-    return near.withColumn("vrank", rank).where(F.col("vrank") <= k)
-
-
 def _holds(text: Column, term: str) -> Column:
     """Whether a term is among a text's tokens, without making them; a search stops at the first."""
     edge = TOKEN.rstrip("+")
@@ -193,3 +142,45 @@ def recall(memories: DataFrame, owner: str, key: str, vector: str, q: list[float
     newest = m.where((F.col("_n") > whole) & (F.col("_v") == 0)).withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(key))))
     first = lambda df, how: df.where(F.col("place") <= k).select(owner, key, F.lit(how).alias("how"), "place")
     return few.unionByName(first(near, "near")).unionByName(first(newest, "newest"))
+
+
+def fused(v: DataFrame, t: DataFrame, docs: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion for many queries: ``v`` (query_id, id, sim, vrank) and ``t`` (query_id, id, krank), each cut
+    to a number of rows a query, and ``docs`` (id and what the result shows)."""
+    part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(rrf_k) + F.col(r)), F.lit(0.0))
+    both = v.join(t, ["query_id", "id"], "full_outer").select("query_id", "id", F.coalesce("sim", F.lit(0.0)).alias("similarity"), F.round(part("vrank") + part("krank"), 9).alias("rrf_score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "id"))
+    return both.join(docs, "id").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def by_quota(hits: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """For many queries: half from side 0, the rest from side 1, then side 0 again; hits whose texts begin alike once.
+
+    ``hits``: query_id, id, side, rk (rank within the side), a bounded number a query; ``docs``: id and ``_pre``.
+    """
+    met = hits.join(docs, "id")
+    once = met.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_pre").orderBy("side", "rk"))).where("_n = 1")
+    nth = once.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "side").orderBy("rk")))
+    tier = F.when((F.col("side") == 0) & (F.col("_n") <= max(1, k // 2)), 0).when(F.col("side") == 1, 1).otherwise(2)
+    placed = nth.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(tier, "rk", "id")))
+    return placed.where(F.col("position") <= k).select("query_id", "id", "side", "position")
+
+
+def recall_all(memories: DataFrame, asks: DataFrame, k: int, tables: Tables, whole: int = 300) -> DataFrame:
+    """(query_id, owner, id, how, place): ``recall`` for many queries, each asking one owner.
+
+    ``memories``: owner long, id, v (or null); ``asks``: id, owner, v. Owners with more than ``whole`` memories are
+    searched in blocks of vectors; of owners without vectors the newest are found once and shared by their queries.
+    """
+    n = memories.groupBy("owner").agg(F.count("*").alias("_n"), F.count("v").alias("_v"))
+    asked = asks.join(n, "owner").select(F.col("id").alias("query_id"), "owner", "v", "_n", "_v")
+    few = asked.where(F.col("_n") <= whole).select("query_id", "owner").join(memories.join(n.where(F.col("_n") <= whole).select("owner"), "owner", "left_semi").select("owner", "id"), "owner")
+    large = n.where((F.col("_n") > whole) & (F.col("_v") > 0)).select("owner")
+    lists = Lists(memories.join(large, "owner", "left_semi").select(F.col("owner").alias("list"), "id", "v"), tables)
+    near = first_k(lists.nearest(asked.where((F.col("_n") > whole) & (F.col("_v") > 0)).select(F.col("owner").alias("list"), F.col("query_id").alias("id"), "v"), k), k)
+    near = near.join(asked.select("query_id", "owner"), "query_id")
+    silent = n.where((F.col("_n") > whole) & (F.col("_v") == 0)).select("owner")
+    late = memories.join(silent, "owner", "left_semi").select("owner", "id").withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("id")))).where(F.col("place") <= k)
+    newest = asked.select("query_id", "owner").join(late, "owner")
+    shape = lambda df, how, place: df.select("query_id", "owner", "id", F.lit(how).alias("how"), place.cast("int").alias("place"))
+    return shape(few, "all", F.lit(None)).unionByName(shape(near, "near", F.col("vrank"))).unionByName(shape(newest, "newest", F.col("place")))
