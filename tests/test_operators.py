@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from marlstone.functions import dates, rules, text
-from marlstone.operators import chunking, fuzzy, lift, merging
+from marlstone.operators import chunking, lift, merging
 from marlstone.sources import html
 from pyspark.sql import functions as F
 
@@ -36,30 +36,6 @@ def test_chunk_rows(spark):
     assert [tuple(r) for r in chunking.chunk_documents(df).collect()] == [(1, 0, None, "a\n\nb")]
 
 
-def test_fuzzy_matches_brute_force(spark, data):
-    d = spark.read.parquet(f"{data}/documents.parquet").where("n_chars < 400").select("doc_id", "text")
-    base = "the quick brown fox jumps over the lazy dog near the river bank today"
-    extra = spark.createDataFrame([(90001, base), (90002, base + "!"), (90003, base.replace("quick", "quiet")), (90004, base.upper()), (90005, None), (90006, "")], "doc_id long, text string")
-    d = d.unionByName(extra)
-    keyed = {}
-    for r in d.select("doc_id", text.fact_key(F.col("text")).alias("k")).orderBy("doc_id").collect():
-        if r["k"]:
-            keyed.setdefault(r["k"], r["doc_id"])
-    items = sorted((s, k) for k, s in keyed.items())
-    want = {(a, b) for i, (a, ka) in enumerate(items) for b, kb in items[i + 1 :] if fuzzy.ratio_at_least(ka, kb)}
-    pairs = fuzzy.repeated_pairs(d, "doc_id", "text")
-    assert {tuple(r) for r in pairs.collect()} == want and (90001, 90003) in want
-    kept, repeats = [], {}
-    for s, k in items:
-        hit = next((o for o in kept if (o, s) in want), None)
-        if hit is None:
-            kept.append(s)
-        else:
-            repeats[s] = hit
-    got = {r["doc_id"]: r["repeats"] for r in fuzzy.keep_oldest(d, pairs, "doc_id").collect() if r["repeats"] is not None}
-    assert got == repeats
-
-
 def test_lift_replay_is_the_plain_fold(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [(7, start + dt.timedelta(milliseconds=50 * i), i, i % 90 < 60, i % 90 >= 60, i % 7 == 0, i % 5 == 0) for i in range(300)]
