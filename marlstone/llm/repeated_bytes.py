@@ -197,7 +197,7 @@ def _refined(contexts: DataFrame, scratch: Scratch) -> DataFrame:
         ids = [f"{side}{n}" for n in LEVELS]
         alive, survivors = contexts.select("rid", *ids), None
         for k, id_ in enumerate(ids):
-            twice = alive.where(F.col(id_).isNotNull()).groupBy(id_).agg(F.count("*").alias("n")).where("n > 1").select(id_)
+            twice = scratch.save(alive.where(F.col(id_).isNotNull()).groupBy(id_).agg(F.count("*").alias("n")).where("n > 1").select(id_), f"twice-{side}")
             alive = scratch.save(alive.join(twice.hint("shuffle_hash"), id_).select("rid", *ids[k + 1 :]), f"level-{side}")
             got = alive.select("rid", F.lit(k + 1).alias("n"))
             survivors = got if survivors is None else survivors.unionByName(got)
@@ -219,7 +219,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> Dat
 
     # grams that occur twice, and whether in different contexts; all other anchors leave
     ends = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
-    grams_ = ends.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("shared"))
+    grams_ = scratch.save(ends.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("shared")), "grams")  # written, so that Spark can split the join
     live = scratch.save(found.join(grams_.hint("shuffle_hash"), "gram"), "live")
     scratch.drop(found)
     one = F.struct(*KEY, "at", "low", "high")
