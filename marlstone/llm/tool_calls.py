@@ -3,8 +3,7 @@
 A message's text is plain, or a JSON object: an assistant's ``{"content": ..., "tool_calls": [{"id", "name",
 "arguments"}]}``, or a tool's ``{"tool_call_id": ..., "content": ...}``. Calls and results meet in a hash
 join on conversation and call id. Arguments that name another call as ``{"$ref": id}`` put a call behind it;
-levels come from repeated joins until nothing changes, and calls on a cycle, or behind a missing call, have
-no level. Calls of a message are written in topological order, by level and place, those without level
+levels come from repeated joins until nothing changes, and calls on a cycle, or behind a missing call, have no level. Calls of a message are written in topological order, by level and place, those without level
 last. Arguments are validated against the tool's schema (types and required names). JSON is canonical:
 sorted keys, no spaces, text as it is.
 
@@ -12,10 +11,12 @@ One row per message: conv_id, turn, role, n_calls, n_linked (calls with a result
 result), level (the deepest of its calls), valid (all calls and results are linked, ordered and follow
 their schema; plain messages are), result_turns (of each call in written order the turn of its result, null
 without), message (canonical JSON). Nulls: a null text is an empty message, a null role an empty role, null
-ids never link. Text that is no such object is plain, and so is one that nests deeper than ``MAX_DEPTH`` or
-holds numbers that JSON has not (NaN, infinities); arguments given as such a text stay text. Of repeated keys
-the last counts. Lone surrogates become U+FFFD. Of results that repeat an id the first by turn is linked;
-repeated calls share it. Conversations of any length are never gathered. An empty table gives an empty
+ids never link. Text that is no such object is plain, and so is one that
+holds numbers that JSON has not (NaN, infinities) or nests deeper than ``max_depth``, if that is given; arguments given
+as such a text stay text. Texts may nest and be as long as they like: what the interpreter's stack does not bear is read and
+written by loops. Of repeated keys the last counts. Lone surrogates become U+FFFD. Of results that repeat an id the first
+by turn is linked, those without turn last and ties by message; repeated calls share it. Conversations of any length are
+never gathered. An empty table gives an empty
 result. Extra columns are not read.
 """
 
@@ -41,8 +42,6 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
 }
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
-MAX_DEPTH = 100
-
 PARSED = """conv_id long, turn long, mid long, role string, message string, result_id string,
 calls array<struct<id: string, valid: boolean, refs: array<string>, place: int, json: string>>"""
 _CALL = pa.struct([("id", pa.string()), ("valid", pa.bool_()), ("refs", pa.list_(pa.string())), ("place", pa.int32()), ("json", pa.string())])
@@ -54,23 +53,111 @@ def clean(text: str | None) -> str | None:
 
 
 def canonical(value) -> str:
-    return clean(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+    try:
+        text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except RecursionError:
+        text = "".join(_written(value))
+    return clean(text)
+
+
+def _written(value) -> Iterator[str]:
+    """The same text, with the open lists and objects on a stack of its own."""
+    todo: list = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Raw):
+            yield v
+        elif isinstance(v, dict) and v:
+            parts: list = [_Raw("{")]
+            for i, k in enumerate(sorted(v)):
+                parts += [_Raw("," * (i > 0) + json.dumps(k, ensure_ascii=False) + ":"), v[k]]
+            todo += reversed([*parts, _Raw("}")])
+        elif isinstance(v, list) and v:
+            parts = [_Raw("[")]
+            for i, x in enumerate(v):
+                parts += [_Raw("," * (i > 0)), x]
+            todo += reversed([*parts, _Raw("]")])
+        else:
+            yield json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+class _Raw(str):
+    """Text of the result, not a value."""
 
 
 def _no_constant(name: str):
     raise ValueError(name)
 
 
-def load(text: str):
-    """The value of a JSON text; ValueError for what is none, nests too deeply or holds numbers beyond JSON's."""
+_SPACE, _PLAIN = re.compile(r"[ \t\n\r]*"), re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+
+
+def _read(text: str):
+    """``json.loads`` as a loop: open lists and objects are on a stack, with the key that waits for its value."""
+    space = lambda i: _SPACE.match(text, i).end()
+    stack: list[tuple] = []
+    i = space(0)
+
+    def key_at(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("key")
+        key, i = json.decoder.scanstring(text, i + 1, True)
+        i = space(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("colon")
+        return key, space(i + 1)
+
+    while True:
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            i = space(i + 1)
+            value: object = {} if c == "{" else []
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                key = None
+                if c == "{":
+                    key, i = key_at(i)
+                stack.append((value, key))
+                continue
+            i += 1
+        elif c == '"':
+            value, i = json.decoder.scanstring(text, i + 1, True)
+        else:
+            m = _PLAIN.match(text, i)
+            if not m:
+                raise ValueError("value")
+            value, i = json.loads(m[0]), m.end()
+        while stack:
+            holder, key = stack.pop()
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            i = space(i)
+            if text[i : i + 1] == ",":
+                i = space(i + 1)
+                if isinstance(holder, dict):
+                    key, i = key_at(i)
+                stack.append((holder, key))
+                break
+            if text[i : i + 1] != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError("end")
+            i, value = i + 1, holder
+        else:
+            if space(i) != len(text):
+                raise ValueError("more")
+            return value
+
+
+def load(text: str, max_depth: int | None = None):
+    """The value of a JSON text; ValueError for what is none, nests deeper than ``max_depth`` or holds numbers beyond JSON's."""
     try:
         value = json.loads(text, parse_constant=_no_constant)
     except RecursionError:
-        raise ValueError("nests too deeply") from None
+        value = _read(text)
     level, depth = [value], 0
     while level:
         depth += 1
-        if depth > MAX_DEPTH or any(isinstance(v, float) and not math.isfinite(v) for v in level):
+        if max_depth is not None and depth > max_depth or any(isinstance(v, float) and not math.isfinite(v) for v in level):
             raise ValueError("not a message")
         level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
     return value
@@ -94,19 +181,25 @@ def follows(arguments, schema: dict | None) -> bool:
 
 
 def references(value) -> list[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$ref"} and isinstance(value["$ref"], str):
-            return [value["$ref"]]
-        return [r for v in value.values() for r in references(v)]
-    return [r for v in value for r in references(v)] if isinstance(value, list) else []
-
-
-def parse(role: str, text: str, schemas: dict) -> tuple[str, str | None, list[dict]]:
+    found, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if set(v) == {"$ref"} and isinstance(v["$ref"], str):
+                found.append(v["$ref"])
+            else:
+                todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return found
+
+
+def parse(role: str, text: str, schemas: dict, max_depth: int | None = None) -> tuple[str, str | None, list[dict]]:
     """Canonical message (of one with calls the part before them), the call id that it answers, and its calls."""
     body = None
     if text[:1] == "{":
         try:
-            body = load(text)
+            body = load(text, max_depth)
         except ValueError:
             body = None
     if isinstance(body, dict) and isinstance(body.get("tool_calls"), list) and body["tool_calls"]:
@@ -116,7 +209,7 @@ def parse(role: str, text: str, schemas: dict) -> tuple[str, str | None, list[di
             arguments = c.get("arguments")
             if isinstance(arguments, str):
                 try:
-                    arguments = load(arguments)
+                    arguments = load(arguments, max_depth)
                 except ValueError:
                     pass
             name, key = c.get("name"), c.get("id")
@@ -131,12 +224,12 @@ def parse(role: str, text: str, schemas: dict) -> tuple[str, str | None, list[di
     return canonical({"role": role, "content": text}), None, []
 
 
-def _parser(schemas: dict):
+def _parser(schemas: dict, max_depth: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
                 roles = [r or "" for r in b.column("role").to_pylist()]
-                found = [parse(r, t or "", schemas) for r, t in zip(roles, b.column("text").to_pylist())]
+                found = [parse(r, t or "", schemas, max_depth) for r, t in zip(roles, b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in ("conv_id", "turn", "mid")), pa.array(roles, pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.list_(_CALL))],
                     ["conv_id", "turn", "mid", "role", "message", "result_id", "calls"],
@@ -147,24 +240,48 @@ def _parser(schemas: dict):
 
 def _levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, id, level): 0 for calls that refer to none, else one more than the deepest they refer to."""
-    arcs = scratch.save(calls.select("conv_id", "id", F.explode("refs").alias("ref")).distinct(), "arcs")
-    done = scratch.save(calls.select("conv_id", "id").distinct().join(arcs.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    before = -1
-    while (now := done.count()) != before and not arcs.isEmpty():
-        before = now
-        known = done.select("conv_id", F.col("id").alias("ref"), F.col("level").alias("_l"))
-        ready = arcs.join(known, ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.max("_l").alias("_l"), F.count_if(F.col("_l").isNull()).alias("_open"))
-        new = ready.where("_open = 0").join(done.select("conv_id", "id"), ["conv_id", "id"], "left_anti").select("conv_id", "id", (F.col("_l") + 1).cast("int").alias("level"))
-        done = scratch.save(done.unionByName(new), "level")
-    return done
-
-
-def format_chats(messages: DataFrame, scratch: Scratch, schemas: dict = SCHEMAS) -> DataFrame:
+    node = ["conv_id", "id"]
+    ids = scratch.save(calls.select(*node).distinct(), "ids")
+    arcs = scratch.save(calls.select(*node, F.explode("refs").alias("ref")).distinct(), "arcs")
+    if arcs.isEmpty():
+        return ids.withColumn("level", F.lit(0))
+    there = arcs.join(ids.select("conv_id", F.col("id").alias("ref"), F.lit(1).alias("_is")), ["conv_id", "ref"], "left")
+    degrees = scratch.save(there.groupBy(*node).agg(F.count("*").alias("n"), F.count("_is").alias("n_there")), "degrees")
+
+    # chains: a call with one reference points at the next call that has none or several, and knows how far that is
+    ends = scratch.save(arcs.join(degrees.where("n = 1"), node).select(*node, F.col("ref").alias("to"), F.lit(1).alias("far")), "chain")
+    total = ends.count()
+    for _ in range(max(1, total).bit_length() + 1):
+        over = ends.select("conv_id", F.col("id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"))
+        moved = ends.join(over, ["conv_id", "to"], "left")
+        if moved.where("_to is not null").isEmpty():
+            break
+        ends = scratch.save(moved.select(*node, F.coalesce("_to", "to").alias("to"), (F.col("far") + F.coalesce("_far", F.lit(0))).cast("int").alias("far")), "chain")
+
+    # calls with several references, by rounds over those whose level is new
+    jump = ends.select("conv_id", F.col("id").alias("ref"), "to", "far")
+    several = arcs.join(degrees.where("n > 1 and n = n_there").select(*node), node)
+    open_ = several.join(jump, ["conv_id", "ref"], "left").select(*node, F.coalesce("to", "ref").alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    open_ = scratch.save(open_.withColumn("level", F.lit(None).cast("int")), "several")
+    done = new = scratch.save(ids.join(degrees.select(*node), node, "left_anti").withColumn("level", F.lit(0)), "level")
+    while not open_.isEmpty() and not new.isEmpty():
+        got = open_.join(new.select("conv_id", F.col("id").alias("to"), F.col("level").alias("_l")), ["conv_id", "to"], "left")
+        last, open_ = open_, scratch.save(got.select(*node, "to", "far", F.coalesce("level", F.col("_l") + F.col("far")).cast("int").alias("level")), "several")
+        scratch.drop(last)
+        new = scratch.save(open_.groupBy(*node).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("_open")).where("_open = 0").drop("_open"), "level")
+        done, last = done.unionByName(new), open_
+        open_ = scratch.save(open_.join(new.select(*node), node, "left_anti"), "several")
+        scratch.drop(last)
+    chained = ends.join(done.select("conv_id", F.col("id").alias("to"), "level"), ["conv_id", "to"]).select(*node, (F.col("level") + F.col("far")).cast("int").alias("level"))
+    return done.unionByName(chained)
+
+
+def format_chats(messages: DataFrame, scratch: Scratch, schemas: dict = SCHEMAS, max_depth: int | None = None) -> DataFrame:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.monotonically_increasing_id().alias("mid"), "role", "text")
-    parsed = scratch.save(rows.mapInArrow(_parser(schemas), PARSED), "parsed")
+    parsed = scratch.save(rows.mapInArrow(_parser(schemas, max_depth), PARSED), "parsed")
     calls = parsed.where(F.size("calls") > 0).select("mid", "conv_id", F.explode("calls").alias("c")).select("mid", "conv_id", "c.*")
     calls = scratch.save(calls, "calls")
-    results = parsed.where("result_id is not null").groupBy("conv_id", F.col("result_id").alias("id")).agg(F.min(F.struct("turn", "mid")).alias("_result"))
+    results = parsed.where("result_id is not null").groupBy("conv_id", F.col("result_id").alias("id")).agg(F.min(F.struct(F.col("turn").isNull().alias("_none"), "turn", "message", "mid")).alias("_result"))
     levels = _levels(calls.where("id is not null").select("conv_id", "id", "refs"), scratch)
     linked = calls.join(results, ["conv_id", "id"], "left").join(levels, ["conv_id", "id"], "left")
     written = F.array_sort(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("l"), "place", F.col("_result.turn").alias("turn"), "json")))
