@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import appearances, assembly, catalogs, edits, extraction, listings, merges, models, retrieval, scalars, setlists, states, texts, usage  # noqa: F401  registers queries
+from .plans import appearances, assembly, catalogs, edits, extraction, fills, listings, merges, models, pages, retrieval, scalars, setlists, states, texts, usage  # noqa: F401  registers queries
 from .plans.registry import QUERIES, SQL
 
 

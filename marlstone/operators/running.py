@@ -40,10 +40,10 @@ def running(rows: DataFrame, keys: list[str], bucket: str, order: list[Column |
     return met.select(*(F.col(c) for c in rows.columns), *found.values())
 
 
-def in_order(rows: DataFrame, by: list[Column | str], bucket: str = "bucket", place: str = "place", keep: list[Column | str] | None = None) -> DataFrame:
+def in_order(rows: DataFrame, by: list[Column | str], bucket: str = "bucket", place: str = "place", keep: list[Column | str] | None = None, ranges: int | None = None) -> DataFrame:
     """``keep`` of rows range-sorted ``by``, with the range that each fell into and its place, which rises over all rows.
 
     Write the result before it is used: places are given while it is made. Rows of equal ``by`` are in one range.
     """
-    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = rows.repartitionByRange(*([ranges] if ranges else []), *by).sortWithinPartitions(*by)
     return ranged.select(*(keep or rows.columns), F.spark_partition_id().alias(bucket), F.monotonically_increasing_id().alias(place))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.running import in_order, running
+from ..scratch import Tables
 from ..session import table
 from .registry import query
 
@@ -54,9 +56,10 @@ def forward_fill_marker(spark, sf_dir):
 @query("""WITH r AS (SELECT user_id, event_id, CAST(round(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS used FROM events)
 SELECT user_id, min(event_id) FILTER (used >= 60000) AS first_over, count(CASE WHEN used < 60000 THEN 1 END) AS within FROM r GROUP BY user_id""")
 def running_cap(spark, sf_dir):
-    """Where a running sum reaches its limit."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = table(spark, sf_dir, "events").select("user_id", "event_id", F.sum(F.round(F.col("value") * 100).cast("long")).over(w).alias("used"))
+    """Where a running sum reaches its limit; sums run over ranges of a user's events, so a user may be any size."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    placed = Tables(spark, "cap").save(in_order(e, ["user_id", "ts", "event_id"], keep=["user_id", "event_id", "cents"]), "placed")
+    r = running(placed, ["user_id"], "bucket", ["place"], {"used": ("sum", F.col("cents"))})
     return r.groupBy("user_id").agg(F.min(F.when(F.col("used") >= 60000, F.col("event_id"))).alias("first_over"), F.count_if(F.col("used") < 60000).alias("within"))
 
 
