@@ -1,9 +1,9 @@
 """Nearest vectors for many queries at once, over vectors kept in lists.
 
 Vectors, at length 1, are dealt into lists and each list into blocks of a bounded number of rows; queries that ask a
-list are packed into blocks too and go to each of its blocks. So two bounded blocks meet in a task at a time, a list
-of any size is as many keys as it has blocks, and nothing is broadcast. A task returns the best rows of each query
-over the blocks it met.
+list are packed into blocks too and go to its blocks, some of which are together. So two bounded blocks meet in a task at
+a time, a list of any size is as many keys as it has groups of blocks, and nothing is broadcast. A task returns the best
+rows of each query over the blocks it met, so results are few against what was compared.
 
 Lists are given (an owner's vectors), or come from centroids (an inverted file). For those, a first round asks the
 nearest list of each query, and its k-th similarity bounds the distance of all better rows; a list whose
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import Tables
 
-#: Vectors in a block, and lists and sampled rows of an inverted file.
-ROWS, LISTS, SAMPLE = 1000, 16, 4096
+#: Vectors in a block, blocks that a task compares with a block of queries, lists and sampled rows of an inverted file.
+ROWS, TOGETHER, LISTS, SAMPLE = 1000, 16, 16, 4096
 #: Similarities are compared at nine digits; bounds leave this much room.
 SLACK = 1e-6
 
@@ -87,7 +87,8 @@ class Lists:
         rows_ = vectors.where("v is not null and list is not null").select(F.col("list").cast("long").alias("list"), F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
         self.sizes = tables.save(rows_.groupBy("list").agg(F.ceil(F.count("*") / rows).alias("parts")), "sizes")
         dealt = rows_.join(self.sizes, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-        self.blocks = tables.save(self._packed(dealt, ["list", "part"]), "blocks")
+        blocks = self._packed(dealt, ["list", "part"]).withColumn("near", F.floor(F.col("part") / TOGETHER))
+        self.blocks = tables.save(blocks.select("list", "near", "ids", "m"), "blocks")
 
     def _packed(self, dealt: DataFrame, keys: list[str]) -> DataFrame:
         schema = ", ".join(f"{c} long" for c in keys) + ", ids binary, m binary"
@@ -99,8 +100,9 @@ class Lists:
         q = queries.where("v is not null").select(F.col("list").cast("long").alias("list"), F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
         asked = q.groupBy("list").agg(F.count("*").alias("_n"))
         packed = self._packed(q.join(asked, "list").withColumn("share", share), ["list", "share"]).select("list", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-        spread = packed.join(self.sizes, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "q_ids", "q_m")
-        met = spread.join(self.blocks, ["list", "part"])
+        last = F.floor((F.col("parts") - 1) / TOGETHER)
+        spread = packed.join(self.sizes, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("near"), "q_ids", "q_m")
+        met = spread.join(self.blocks, ["list", "near"])
         return met.select("q_ids", "q_m", "ids", "m").mapInArrow(_best(k), "query_id long, id long, sim double")
 
 
