@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunking
+
 LESSON = "course string, module string, url string, note string, transcript string"
 SETLIST = """artist string, eventDate string, tour struct<name: string>, venue struct<name: string>,
 sets struct<set: array<struct<encore: int, song: array<struct<name: string, cover: struct<name: string>>>>>>"""
@@ -69,6 +71,59 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_name").parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder but for marks and hidden ones."""
+    p, fs = _at(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [n for n in names if n[0] not in "._"]
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return fs.delete(p, True)
+
+
+def delete_files(spark: SparkSession, path: str, names: list[str]) -> int:
+    """K2: the stored chunks of these files go, their partitions only; how many chunks went."""
+    if not there(spark, path) or not names:
+        return 0
+    chunks = spark.read.parquet(path).where(F.col("file_name").isin(*names))
+    found = chunks.groupBy(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("n")).collect()  # a row per file named
+    for r in found:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["folder"]))  # names in metadata are written as addresses
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return sum(r["n"] for r in found)
+
+
+def reindex(spark: SparkSession, path: str, names: list[str], size: int = 1000) -> DataFrame:
+    """K3, K4: stored files whose path or last part is among ``names`` are read, cut and stored anew, whatever their hash.
+
+    (name, file_name, action): 'stored', 'gone' (the file is no more; its chunks stay) or 'unknown' (nothing stored).
+    """
+    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    stored = spark.read.parquet(path).select("file_name").distinct()
+    known = wanted.join(stored, (F.col("file_name") == F.col("name")) | F.col("file_name").endswith(F.concat(F.lit("/"), "name")), "left").collect()  # a row per file named
+    paths = sorted({r["file_name"] for r in known if r["file_name"] is not None})
+    alive = [p for p in paths if there(spark, p)]
+    if alive:
+        cut = chunking.chunk_documents(texts(spark, alive), "file_name", "content", size)
+        hashes = texts(spark, alive).select("file_name", "file_hash")
+        rows = cut.join(hashes, "file_name").withColumn("lesson_index", F.lit(None).cast("int")).withColumn("id", F.lit(""))
+        write_chunks(chunk_ids(rows).select(*(c.split()[0] for c in CHUNK.split(", "))), path)
+    action = lambda f: "unknown" if f is None else "stored" if f in alive else "gone"
+    return spark.createDataFrame([(r["name"], r["file_name"], action(r["file_name"])) for r in known], "name string, file_name string, action string")
+
+
 def without_known(new: DataFrame, stored: DataFrame) -> DataFrame:
     """V5: files whose hash is stored already are skipped."""
     return new.join(stored.select("file_hash").distinct(), "file_hash", "left_anti")
