@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,32 @@ def fact_key(text: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "))
 
 
+def _compositions() -> list[tuple[str, str]]:
+    """(letter and mark, letter) of all letters that canonical decomposition parts in two."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and 0x300 <= int(parts[1], 16) <= 0x36F:
+            pairs.append((chr(int(parts[0], 16)) + chr(int(parts[1], 16)), chr(code)))
+    return pairs
+
+
+def composed(text: Column) -> Column:
+    """letters written as a letter and a combining mark as one letter; texts without marks are not touched.
+
+    Marks are taken in the order in which they stand, up to three a letter.
+    """
+    letters = F.create_map(*(F.lit(x) for pair in _compositions() for x in pair))
+    def once(t: Column) -> Column:
+        parts = F.regexp_extract_all(t, F.lit("(?s).[\u0300-\u036f]?"), F.lit(0))
+        return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(letters, p), p)), "")
+
+    return F.when(text.rlike("[\u0300-\u036f]"), once(once(once(text)))).otherwise(text)
+
+
 def name_key(text: Column) -> Column:
-    """Lower case, separators to spaces, other punctuation dropped: the key for names of artists."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[-_/&+.]", " ")
+    """Composed letters, lower case, separators to spaces, other punctuation dropped: the key for names of artists."""
+    spaced = F.regexp_replace(F.lower(composed(F.coalesce(text, F.lit("")))), r"[-_/&+.]", " ")
     return collapse(F.regexp_replace(spaced, r"[^\p{L}\p{N}\s]", ""))
 
 

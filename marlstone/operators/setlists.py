@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import contains_any
+
 ENCORE_OFFSET = 1000.0
 
 
@@ -75,3 +77,26 @@ def badge(frequency: Column, streamed: Column, sources: Column) -> tuple[Column,
     name = F.when(frequency > 0, "setlist").when(streamed, "spotify").when(sources >= 2, "prediction_hoch").when(sources == 1, "prediction_mittel").otherwise("prediction_niedrig")
     score = F.when(frequency > 0, F.round(frequency, 2)).when(streamed, 0.1).when(sources >= 2, 0.55).when(sources == 1, 0.35).otherwise(0.15)
     return name, score
+
+
+# Words of festivals in names of venues, and in names of tours and venues; songs up to which a set is short.
+FESTIVAL_VENUES = (
+    "festival", "open air", "open-air", "rock im park", "rock am ring", "wacken", "hurricane", "southside", "download", "hellfest",
+    "lollapalooza", "coachella", "reading", "leeds festival", "elbriot", "impericon", "copenhell",
+)
+FESTIVALS = (
+    "festival", "open air", "open-air", "rock im park", "rock am ring", "wacken", "hurricane", "southside", "download", "hellfest",
+    "lollapalooza", "coachella", "reading", "leeds", "elbriot", "impericon", "copenhell", "sonic temple", "knotfest",
+)
+SHORT, SHORT_WITHOUT_TOUR = 12, 20
+
+
+def festival_short(venue: Column, songs: Column, most: int = SHORT, words=FESTIVAL_VENUES) -> Column:
+    """A festival's set by its venue, or because it is short."""
+    return contains_any(F.lower(F.coalesce(venue, F.lit(""))), words) | (F.coalesce(songs, F.lit(0)) <= most)
+
+
+def festival_tourless(tour: Column, venue: Column, own: Column, most: int = SHORT_WITHOUT_TOUR, words=FESTIVALS) -> Column:
+    """A festival's set by tour or venue, or because it has no tour and few songs of the artist's own."""
+    tour, venue = (F.lower(F.coalesce(c, F.lit(""))) for c in (tour, venue))
+    return contains_any(tour, words) | contains_any(venue, words) | ((tour == "") & (F.coalesce(own, F.lit(0)) <= most))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import name_key
 from ..session import table
 from .registry import query
 
@@ -67,18 +68,19 @@ def provider_lookup(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT s_nationkey AS model, s_name AS name, s_acctbal >= 0 AS reachable, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey % 3 = 1 END AS keeps, s_suppkey AS seq FROM supplier),
-r AS (SELECT *, row_number() OVER (PARTITION BY model, reachable, keeps ORDER BY seq) AS n FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY model, reachable, keeps ORDER BY seq) AS n, row_number() OVER (PARTITION BY model, reachable ORDER BY seq) AS b FROM p)
 SELECT model, count(CASE WHEN reachable THEN 1 END) AS reachable, count(CASE WHEN reachable AND keeps THEN 1 END) AS keeping, count(CASE WHEN reachable AND keeps IS NULL THEN 1 END) AS unknown,
- string_agg(CASE WHEN reachable AND keeps AND n <= 6 THEN name END, ', ' ORDER BY seq) AS keeping_names FROM r GROUP BY model""")
+ string_agg(CASE WHEN reachable AND keeps AND n <= 6 THEN name END, ', ' ORDER BY seq) AS keeping_names, string_agg(CASE WHEN NOT reachable AND b <= 8 THEN name END, ', ' ORDER BY seq) AS blocked_names FROM r GROUP BY model""")
 def provider_partition(spark, sf_dir):
-    """Providers of a model by reach and retention; unknown is a state of its own; the first six keeping ones are named."""
+    """Providers of a model by reach and retention; unknown is a state of its own; the first six keeping and eight blocked ones are named."""
     third = F.col("s_suppkey") % 3
     p = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("model"), F.col("s_name").alias("name"), (F.col("s_acctbal") >= 0).alias("reachable"), F.when(third != 0, third == 1).alias("keeps"), F.col("s_suppkey").alias("seq"))
-    r = p.withColumn("n", F.row_number().over(Window.partitionBy("model", "reachable", "keeps").orderBy("seq")))
-    shown = F.array_sort(F.collect_list(F.when(F.col("reachable") & F.col("keeps") & (F.col("n") <= 6), F.struct("seq", "name"))))
+    nth = lambda *by: F.row_number().over(Window.partitionBy("model", *by).orderBy("seq"))
+    r = p.withColumns({"n": nth("reachable", "keeps"), "b": nth("reachable")})
+    named = lambda which: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("seq", "name")))), lambda x: x["name"]), ", "), F.lit(""))
     return r.groupBy("model").agg(
         F.count_if("reachable").alias("reachable"), F.count_if(F.col("reachable") & F.col("keeps")).alias("keeping"), F.count_if(F.col("reachable") & F.col("keeps").isNull()).alias("unknown"),
-        F.nullif(F.array_join(F.transform(shown, lambda x: x["name"]), ", "), F.lit("")).alias("keeping_names"),
+        named(F.col("reachable") & F.col("keeps") & (F.col("n") <= 6)).alias("keeping_names"), named(~F.col("reachable") & (F.col("b") <= 8)).alias("blocked_names"),
     )
 
 
@@ -196,13 +198,12 @@ def retry_seconds(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.nullif(F.regexp_extract(err, r"[Rr]etry.*?(\d+)\s*s", 1), F.lit("")).cast("int"), F.lit(0)).alias("seconds"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_brand AS artist, p_type AS disambiguation, split_part(p_name, ' ', 1) AS asked, p_name AS name FROM part)
-SELECT id, CAST(row_number() OVER (PARTITION BY asked ORDER BY contains(lower(disambiguation), 'promo'), id) AS INTEGER) AS place FROM a WHERE lower(name) LIKE lower(asked) || '%'""")
+@query("""WITH a AS (SELECT p_partkey AS id, contains(lower(p_type), 'promo') AS other, trim(lower(p_name)) AS k FROM part)
+SELECT id, CAST(row_number() OVER (PARTITION BY k ORDER BY other, id) AS INTEGER) AS place, count(*) OVER (PARTITION BY k) AS of_name FROM a WHERE k <> ''""")
 def candidate_ranking(spark, sf_dir):
-    """Candidates for a name in given order, those that are marked as something else last."""
-    a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.substring_index("p_name", " ", 1).alias("asked"), F.lower("p_type").contains("promo").alias("other"), F.col("p_name").alias("name"))
-    order = Window.partitionBy("asked").orderBy("other", "id")
-    return a.where(F.lower("name").startswith(F.lower("asked"))).select("id", F.row_number().over(order).alias("place"))
+    """Entries of exactly one normalised name in given order, those that are marked as something else last."""
+    a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_type").contains("promo").alias("other"), name_key(F.col("p_name")).alias("k")).where("k <> ''")
+    return a.select("id", F.row_number().over(Window.partitionBy("k").orderBy("other", "id")).alias("place"), F.count("*").over(Window.partitionBy("k")).alias("of_name"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM w GROUP BY w),

@@ -151,14 +151,14 @@ def latest_wins(spark, sf_dir):
 
 
 @query("""SELECT o_custkey AS artist, count(DISTINCT o_orderkey) AS lists, count(DISTINCT l_partkey) AS songs, count(DISTINCT l_partkey) FILTER (p_size > 25) AS missing,
-CASE WHEN count(DISTINCT l_partkey) FILTER (p_size <= 25) = 0 THEN 'create' WHEN count(DISTINCT l_partkey) FILTER (p_size > 25) = 0 THEN 'present' ELSE 'merge' END AS action
+CASE WHEN o_custkey % 5 = 0 THEN 'new' WHEN count(DISTINCT l_partkey) FILTER (p_size <= 25) = 0 THEN 'adds lists' WHEN count(DISTINCT l_partkey) FILTER (p_size > 25) > 0 THEN 'adds songs' ELSE 'complete' END AS action
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_custkey""")
 def import_preview(spark, sf_dir):
-    """What an import would create, add or find present."""
+    """What an import would do, by four labels: a new artist, first lists, missing songs, or nothing."""
     o, li, p = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     j = o.join(li, o["o_orderkey"] == li["l_orderkey"]).join(p, p["p_partkey"] == li["l_partkey"])
     g = j.groupBy(F.col("o_custkey").alias("artist")).agg(
         F.count_distinct("o_orderkey").alias("lists"), F.count_distinct("l_partkey").alias("songs"),
         F.count_distinct(F.when(F.col("p_size") > 25, F.col("l_partkey"))).alias("missing"), F.count_distinct(F.when(F.col("p_size") <= 25, F.col("l_partkey"))).alias("_have"),
     )
-    return g.withColumn("action", F.when(F.col("_have") == 0, "create").when(F.col("missing") == 0, "present").otherwise("merge")).drop("_have")
+    return g.withColumn("action", F.when(F.col("artist") % 5 == 0, "new").when(F.col("_have") == 0, "adds lists").when(F.col("missing") > 0, "adds songs").otherwise("complete")).drop("_have")

@@ -104,15 +104,20 @@ def core_and_best_of(spark, sf_dir):
     return S.plays(_p(spark, sf_dir)).select("artist", "song", "frequency", (f >= 0.75).alias("core"), (f >= 0.25).alias("best_of"), (f >= 0.5).alias("likely"))
 
 
-@query(f"""WITH c AS (SELECT concert, count(*) AS songs, count(CASE WHEN NOT cover THEN 1 END) AS own FROM ({_P}) GROUP BY concert)
-SELECT o_orderkey AS concert, contains(lower(o_orderpriority), 'urgent') OR coalesce(songs, 0) <= 3 AS festival_short,
-contains(lower(o_orderpriority), 'urgent') OR (o_orderstatus <> 'F' AND coalesce(own, 0) <= 5) AS festival_tourless FROM orders LEFT JOIN c ON concert = o_orderkey""")
+_SHOWS = """SELECT o_custkey * 10 + year(o_orderdate) // 3 % 10 AS concert, o_custkey AS artist, l_returnflag = 'R' AS cover FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
+_VENUE = "CASE artist % 9 WHEN 0 THEN 'Wacken Open Air' WHEN 1 THEN 'The Festival Hall' ELSE 'Docks' END"
+_TOUR = "CASE artist % 7 WHEN 0 THEN '' WHEN 1 THEN 'Download 2026' WHEN 2 THEN '' ELSE 'World Tour' END"
+_ANY = lambda text, words: "(" + " OR ".join(f"contains(lower({text}), '{w}')" for w in words) + ")"
+
+
+@query(f"""WITH c AS (SELECT concert, artist, count(*) AS songs, count(CASE WHEN NOT cover THEN 1 END) AS own, {_VENUE} AS venue, {_TOUR} AS tour FROM ({_SHOWS}) GROUP BY concert, artist)
+SELECT concert, artist, {_ANY("venue", S.FESTIVAL_VENUES)} OR songs <= 12 AS festival_short, {_ANY("tour", S.FESTIVALS)} OR {_ANY("venue", S.FESTIVALS)} OR (tour = '' AND own <= 20) AS festival_tourless FROM c""")
 def festival_classifiers(spark, sf_dir):
-    """Both classifiers, named apart; thresholds scaled to the table's short concerts."""
-    c = _p(spark, sf_dir).groupBy("concert").agg(F.count("*").alias("songs"), F.count_if(~F.col("cover")).alias("own"))
-    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "concert").join(c, "concert", "left")
-    word = F.lower("o_orderpriority").contains("urgent")
-    return o.select("concert", (word | (F.coalesce("songs", F.lit(0)) <= 3)).alias("festival_short"), (word | ((F.col("o_orderstatus") != "F") & (F.coalesce("own", F.lit(0)) <= 5))).alias("festival_tourless"))
+    """Both classifiers, named apart, with their words and bounds; a concert is an artist's three years here."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    shows = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select((F.col("o_custkey") * 10 + F.floor(F.year("o_orderdate") / 3) % 10).alias("concert"), F.col("o_custkey").alias("artist"), (F.col("l_returnflag") == "R").alias("cover"))
+    c = shows.groupBy("concert", "artist").agg(F.count("*").alias("songs"), F.count_if(~F.col("cover")).alias("own")).withColumns({"venue": F.expr(_VENUE), "tour": F.expr(_TOUR)})
+    return c.select("concert", "artist", S.festival_short(F.col("venue"), F.col("songs")).alias("festival_short"), S.festival_tourless(F.col("tour"), F.col("venue"), F.col("own")).alias("festival_tourless"))
 
 
 @query(f"""SELECT artist, count(*) AS songs, count(CASE WHEN plays > 1 THEN 1 END) AS played, max(total) AS concerts, bool_or(frequency >= 0.75) AS has_core FROM ({_PLAYS}) GROUP BY artist""")
