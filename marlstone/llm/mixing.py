@@ -6,7 +6,7 @@ rising). A source's documents stand in the order of a hash of their id; the posi
 the ``t`` at which ``W`` reaches the middle of its words, found by inverting ``W``. Documents of a source
 that must give more words than it has come again in a second and third pass. Positions are range-sorted.
 
-Nulls: a null text has size 0; null sources are one source, ordered last. A document of size 0 comes at
+Nulls: a null text has size 0; texts of any length are counted where they are read; null sources are one source, ordered last. A document of size 0 comes at
 most once. Repeated rows are documents of their own, and rows that are equal in all columns may stand for each
 other. An empty table gives an empty result. A table
 without any word has targets of 0. Columns of the input are kept unless named like a result.

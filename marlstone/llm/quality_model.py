@@ -4,7 +4,8 @@ Statistics of whole texts are taken batch by batch with Arrow and numpy. The tre
 from the statistics of at most ``MAX_TRAIN_ROWS`` labelled documents (a bounded number of short rows), then
 flattened into arrays that tasks traverse for all rows and trees of a batch at once.
 
-Nulls: a null text counts as empty and gets a score like any other. Repeated rows score alike. Without any
+Nulls: a null text counts as empty and gets a score like any other. A very long text is a batch of its own and takes some
+24 bytes of index a byte of it. Repeated rows score alike. Without any
 label to learn from, every score is 0.5. An empty table gives an empty result. Labels, language, source and
 ids are never inputs; other columns are not read.
 """

@@ -10,7 +10,8 @@ little-endian:
 
 The width holds ``PERCENTILE`` of a block's ids; the rest are exceptions.
 
-Nulls: a null text is an empty document (end id only); null ids sort first. Repeated rows and equal ids
+Nulls: a null text is an empty document (end id only); null ids sort first. A very long text is encoded and written as
+one document, in a segment of its own; its ids are held with it. Repeated rows and equal ids
 are documents of their own. An empty table gives no segments and an empty result. Other columns are not
 read.
 """

@@ -7,7 +7,7 @@ rows. A page without a rule is blocked where its host's distrust is at least ``t
 trust.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; null
-HTML has no links. Repeated rows are judged alike. Empty tables give empty results. Columns of the input
+HTML has no links. Urls and HTML of any length are matched by expressions that do not backtrack over them. Repeated rows are judged alike. Empty tables give empty results. Columns of the input
 are kept unless named like a result.
 """
 

@@ -157,7 +157,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
         v.where("ok").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")).withColumn("dim", F.size("vector")),
         "classes",
     )
-    narrow = classes.select(F.xxhash64("label").alias("label") if classes.schema["label"].dataType.typeName() == "string" else F.col("label").cast("long").alias("label"), "dim", "rep", F.col("vector").cast("array<double>").alias("vector") if "double" in classes.schema["vector"].dataType.simpleString() else "vector")
+    narrow = classes.select(F.col("label").cast("long").alias("label") if classes.schema["label"].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64("label").alias("label"), "dim", "rep", F.col("vector").cast("array<double>").alias("vector") if "double" in classes.schema["vector"].dataType.simpleString() else "vector")
     kind = narrow.schema["vector"].dataType.simpleString()
     if passes is None:
         largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
