@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Tables
+
 _PLUS = (F.sum, lambda a, b: F.coalesce(a, b - b) + F.coalesce(b, a - a))
 #: Kinds of running value: the aggregate of a bucket, and how two neighbours combine (either may be null).
 KINDS = {
@@ -47,3 +49,18 @@ def in_order(rows: DataFrame, by: list[Column | str], bucket: str = "bucket", pl
     """
     ranged = rows.repartitionByRange(*([ranges] if ranges else []), *by).sortWithinPartitions(*by)
     return ranged.select(*(keep or rows.columns), F.spark_partition_id().alias(bucket), F.monotonically_increasing_id().alias(place))
+
+
+def places(rows: DataFrame, group: list[str], order: list[Column | str], name: str, tables: Tables, equal: list[str] | None = None) -> DataFrame:
+    """``rows`` with each row's place (from 1) in its group under an order without ties; a group may be any size.
+
+    With ``equal``, columns that ``order`` begins with, rows that agree in them share the place of the first.
+    """
+    kept = tables.save(in_order(rows, [*group, *order], "_range", "_in_order"), "placed")
+    found = running(kept, group, "_range", ["_in_order"], {name: ("count", F.lit(1))}).withColumn(name, F.col(name).cast("int")).drop("_range", "_in_order")
+    if not equal:
+        return found
+    same = [*group, *equal]
+    first = found.groupBy(*same).agg(F.min(name).alias("_first")).select(*(F.col(c).alias(f"_e{i}") for i, c in enumerate(same)), "_first")
+    met = found.join(first, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(same))))
+    return met.withColumn(name, F.col("_first")).drop("_first", *(f"_e{i}" for i in range(len(same))))

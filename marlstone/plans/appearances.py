@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import merging as M
+from ..operators.running import places
+from ..scratch import Tables
 from ..session import table
 from .registry import query
 
@@ -52,9 +54,9 @@ def ordered_union(spark, sf_dir):
 @query("""WITH m AS (SELECT c_nationkey AS grp, c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_custkey // 7 END AS manual FROM customer)
 SELECT grp, id, CAST(row_number() OVER (PARTITION BY grp ORDER BY manual ASC NULLS LAST, id) AS INTEGER) AS place FROM m""")
 def manual_order(spark, sf_dir):
-    """What was ordered by hand first, the rest after it."""
+    """What was ordered by hand first, the rest after it; places by ranges of a group."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 == 0, F.floor(F.col("c_custkey") / 7)).alias("manual"))
-    return c.select("grp", "id", F.row_number().over(Window.partitionBy("grp").orderBy(F.asc_nulls_last("manual"), "id")).alias("place"))
+    return places(c, ["grp"], [F.asc_nulls_last("manual"), "id"], "place", Tables(spark, "manual")).select("grp", "id", "place")
 
 
 @query("""SELECT artist FROM (SELECT s_nationkey AS artist FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_acctbal < 0 UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")

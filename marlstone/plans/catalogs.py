@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.running import places
+from ..scratch import Tables
 from ..session import table
 from .registry import query
 
@@ -13,13 +15,12 @@ _PRICE = "CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE round(p_retailprice / 1000
 @query(f"""SELECT p_partkey AS id, {_PRICE} AS price, CASE WHEN {_PRICE} IS NULL THEN NULL WHEN {_PRICE} <= 0.15 THEN 'low' WHEN {_PRICE} <= 0.60 THEN 'medium' WHEN {_PRICE} <= 1.50 THEN 'high' ELSE 'top' END AS tier,
 CAST(rank() OVER (PARTITION BY p_brand ORDER BY ({_PRICE}) ASC NULLS LAST) AS INTEGER) AS place FROM part""")
 def price_tier_catalog(spark, sf_dir):
-    """Price with a sentinel as null, tier, and rank with nulls last."""
-    from pyspark.sql import Window
-
+    """Price with a sentinel as null, tier, and rank with nulls last, by ranges of a brand's prices."""
     price = F.when(F.col("p_partkey") % 50 != 0, F.round(F.col("p_retailprice") / F.lit(1000.0), 3))
     tier = F.when(F.col("price").isNull(), None).when(F.col("price") <= 0.15, "low").when(F.col("price") <= 0.60, "medium").when(F.col("price") <= 1.50, "high").otherwise("top")
     p = table(spark, sf_dir, "part").withColumn("price", price).withColumn("tier", tier)
-    return p.select(F.col("p_partkey").alias("id"), "price", "tier", F.rank().over(Window.partitionBy("p_brand").orderBy(F.asc_nulls_last("price"))).alias("place"))
+    rows = p.select(F.col("p_partkey").alias("id"), "p_brand", "price", "tier")
+    return places(rows, ["p_brand"], [F.asc_nulls_last("price"), "id"], "place", Tables(spark, "tiers"), ["price"]).select("id", "price", "tier", "place")
 
 
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS model, l_suppkey AS provider FROM lineitem),

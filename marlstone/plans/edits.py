@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
+from ..operators.running import places
+from ..scratch import Tables
 from ..session import table
 from .registry import query
 
@@ -97,11 +99,15 @@ CAST(row_number() OVER (PARTITION BY model ORDER BY s_acctbal DESC, id DESC) AS
 def sort_orders(spark, sf_dir):
     """Places under four orders: empty last, longest first, two keys descending, reachable first in given order."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("model"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.col("s_name")).alias("day"), "s_acctbal", (F.col("s_acctbal") >= 0).alias("reachable"))
-    place = lambda *keys: F.row_number().over(Window.partitionBy("model").orderBy(*keys))
-    return s.select(
-        "id", place(F.col("day") == "", "day", "id").alias("empty_last"), place(F.desc(F.length("day")), "day", "id").alias("longest_first"),
-        place(F.desc("s_acctbal"), F.desc("id")).alias("newest_first"), place(F.desc("reachable"), "id").alias("reachable_first"),
-    )
+    tables, out = Tables(spark, "orders"), None
+    orders = {
+        "empty_last": ["_empty", "day", "id"], "longest_first": [F.desc("_long"), "day", "id"], "newest_first": [F.desc("s_acctbal"), F.desc("id")], "reachable_first": [F.desc("reachable"), "id"],
+    }
+    s = s.withColumns({"_empty": F.col("day") == "", "_long": F.length("day")})
+    for name, order in orders.items():  # places by ranges of a model's rows
+        found = places(s, ["model"], order, name, tables).select("id", name)
+        out = found if out is None else out.join(found, "id")
+    return out
 
 
 @query("SELECT name, host, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS name, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) GROUP BY name, host")
