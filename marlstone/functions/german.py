@@ -6,6 +6,8 @@ before the fourth letter. Three steps cut endings inside R1 or R2; umlauts lose
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,43 @@ def with_stem(df: DataFrame, word: str, name: str) -> DataFrame:
     return done.drop("_w", "_p1", "_p2", "_n", "_s", "_t", "_k")
 
 
+_BETWEEN = re.compile(f"([{VOWELS}])([uy])([{VOWELS}])")
+_R1, _R2 = re.compile(REGION_1), re.compile(REGION_2)
+
+
+def stem(word: str) -> str:
+    """The same for one word, for tasks that hold words in Python; ``with_stem`` and this are tested against each other."""
+    w = _BETWEEN.sub(lambda m: m[1] + m[2].upper() + m[3], word.replace("ß", "ss"))
+    regions = [m.end() if (m := r.match(w)) and len(w) > 2 else len(w) for r in (_R1, _R2)]
+    r1, r2 = max(regions[0], min(3, len(w))), regions[1]
+
+    def last(*ends: str) -> int:
+        return next((len(e) for e in ends if w.endswith(e)), 0)
+
+    n = last("ern", "em", "er", "en", "es", "e") or (w[-1:] == "s" and w[-2:-1] in tuple(S_ENDINGS))
+    if n and len(w) - n >= r1:
+        soft, w = w.endswith(("e", "en", "es")), w[:-n]
+        if soft and w.endswith("niss"):
+            w = w[:-1]
+    n = last("est", "en", "er") or 2 * (len(w) > 5 and w.endswith("st") and w[-3] in ST_ENDINGS)
+    if n and len(w) - n >= r1:
+        w = w[:-n]
+    n = last("isch", "lich", "heit", "keit", "end", "ung", "ig", "ik")
+    if n and len(w) - n >= r2:
+        ending, rest = w[-n:], w[:-n]
+        if ending not in ("isch", "ig", "ik") or not rest.endswith("e"):
+            w = rest
+            more = {"end": ("ig",), "ung": ("ig",), "lich": ("er", "en"), "heit": ("er", "en"), "keit": ("lich", "ig")}.get(ending, ())
+            n = last(*more) if more else 0
+            inside = r1 if ending in ("lich", "heit") else r2
+            if n and len(w) - n >= inside and not (ending in ("end", "ung") and w.endswith("eig")):
+                w = w[:-n]
+    return w.translate(_LAST)
+
+
+_LAST = str.maketrans("UYäöü", "uyaou")
+
+
 def stem_sql(word: str, source: str, name: str = "stem") -> str:
     """CTEs in DuckDB's SQL that give ``source`` (distinct words in ``word``) its stems; the last is ``stems``."""
     v = VOWELS

@@ -5,20 +5,23 @@ sorted by term inside, so that a search for given terms opens few files and skip
 and ``corpus`` (n, total length). Positions count all words; stop words have no postings. Searches read these tables
 and no text. ``open_index`` builds once per version of the source's files and session folder.
 
-Null and empty texts have no postings but count as texts of length 0. Keys are taken to be unique; rows that repeat a
-key are one text whose words stand at each other's places.
+Null and empty texts have no postings but count as texts of length 0. Keys are taken to be unique; of rows that repeat a
+key each has its own postings.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.german import STOP_WORDS, with_stem
-from ..functions.text import tokens
+from ..functions.german import STOP_WORDS, stem, with_stem
+from ..functions.text import TOKEN, tokens
 from ..scratch import Tables, kept
 
 #: Folders of the postings.
@@ -37,14 +40,50 @@ def words_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.where(~F.col("word").isin(*STOP_WORDS)).withColumn("pos", F.col("pos") + 1)
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, t: all words of a text) as one row per text and stem; words met before by this worker are not stemmed again."""
+    memo = dict.fromkeys(STOP_WORDS, "")
+    for batch in batches:
+        ends = np.cumsum(batch.column("t").value_lengths().to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(ends // _TOGETHER, prepend=0)).tolist()
+        for first, last in zip([0, *cuts], [*cuts, batch.num_rows]):
+            part = batch.slice(first, last - first)
+            lengths = part.column("t").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = part.column("t").flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if len(memo) > _MEMO:
+                memo = dict.fromkeys(STOP_WORDS, "")
+            for w in words:
+                if w not in memo:
+                    memo[w] = stem(w)
+            stems = sorted({memo[w] for w in words} - {""})
+            number = {x: i for i, x in enumerate(stems)}
+            of = np.array([number.get(memo[w], -1) for w in words], np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            pos = np.arange(len(of)) - (np.cumsum(lengths) - lengths)[text] + 1
+            kept = np.flatnonzero(of >= 0)
+            place = text[kept] * max(1, len(stems)) + of[kept]
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            which, at = place[starts] % max(1, len(stems)), place[starts] // max(1, len(stems))
+            positions = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(place)].astype(np.int32)), pa.array(pos[kept][order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()).take(pa.array(which)), part.column("key").take(pa.array(at)), pa.array(lengths[at]), positions], ["term", "key", "dl", "positions"])
+
+
+#: Words looked at together, and words remembered by a worker.
+_TOGETHER, _MEMO = 400_000, 500_000
+
+
 def build(docs: DataFrame, key: str, text: str, tables: Tables) -> None:
-    stems = with_stem(words_of(docs, key, text), "word", "term").where("term <> ''")
-    postings = stems.groupBy("term", "key", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))  # of one text and term
+    """One reading of the texts, one move of the postings."""
+    rows = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
+    postings = rows.mapInArrow(_postings, f"term string, key {docs.schema[key].dataType.simpleString()}, dl long, positions array<int>")
     placed = postings.select("term", "key", F.size("positions").alias("tf"), "dl", "positions", _bucket(F.col("term")).alias("bucket"))
     dealt = placed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("bucket", "term", "key")
     written = tables.save(dealt, "postings", ["bucket"])
     tables.save(written.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    words = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"))
+    words = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN))
     tables.save(docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("total")), "corpus")
     tables.save(docs.select(F.col(key).alias("key")).limit(0), "keys")  # the type of keys
 

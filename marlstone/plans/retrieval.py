@@ -67,7 +67,8 @@ def _texts_of_all(spark, sf_dir, k):
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 #: Stems and places of all words, and for every question its texts with density and rank.
-_STEMMED = f"""w AS (SELECT key, dl, word, pos FROM (SELECT doc_id AS key, len({_TOK}) AS dl, unnest({_TOK}) AS word, unnest(range(1, len({_TOK}) + 1)) AS pos FROM documents) WHERE word NOT IN ({_STOP})),
+_STEMMED = f"""w0 AS MATERIALIZED (SELECT doc_id AS key, {_TOK} AS toks FROM documents),
+w AS (SELECT key, dl, word, pos FROM (SELECT key, len(toks) AS dl, unnest(toks) AS word, unnest(range(1, len(toks) + 1)) AS pos FROM w0) WHERE word NOT IN ({_STOP})),
 {stem_sql("word", "w", "term")},
 post AS MATERIALIZED (SELECT key, dl, term, pos, length(word) AS letters FROM w JOIN stems USING (word) WHERE term <> '')"""
 _SLOTS = ", ".join(f"max(CASE WHEN slot = {i} THEN {{c}} END) OVER s AS {{c}}{i}" for i in range(3))
@@ -101,7 +102,8 @@ STEMS = ("konzert", "thing", "schaft", "ering", "tion")
 
 
 @query(f"""WITH {_STEMMED}, c AS (SELECT count(*) AS n, sum(len({_TOK}))::DOUBLE / count(*)::DOUBLE AS avg FROM documents),
-tf AS (SELECT key, term, dl, count(*) AS tf FROM post WHERE term IN {STEMS} GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+asked AS (SELECT unnest([{", ".join(f"'{t}'" for t in STEMS)}]) AS term),
+tf AS (SELECT key, term, dl, count(*) AS tf FROM post JOIN asked USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT key AS doc_id, round(-sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg))), 6) AS bm25
 FROM tf JOIN df USING (term), c GROUP BY key ORDER BY bm25, key LIMIT {2 * K}""")
 def bm25_stems(spark, sf_dir):

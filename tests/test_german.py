@@ -95,6 +95,7 @@ def test_all_words_of_the_documents(spark, words):
     assert len(got) == len(words) > 20_000
     wrong = {w: (s, stem(w)) for w, s in got.items() if s != stem(w)}
     assert not wrong
+    assert all(german.stem(w) == s for w, s in got.items())
 
 
 def test_sql_gives_the_same(words):
