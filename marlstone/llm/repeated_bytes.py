@@ -23,8 +23,9 @@ step 2. No step gathers a bucket: counts are combined before they move, and coun
 Spark can split.
 
 Nulls: a null text is empty. Equal ids and repeated rows are texts of their own, so a row that stands twice is
-repeated. Texts shorter than ``LENGTH`` are kept as they are. Texts of any length are read block by block; a text's
-spans are held with it. An empty table gives an empty result. Other columns are not read.
+repeated. Texts shorter than ``LENGTH`` are kept as they are. Anchors of texts of any length are found block by
+block; contexts are cut from a whole text, with some 50 bytes for each byte of one that is very long, and a text's spans
+are held with it. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
