@@ -69,3 +69,18 @@ def test_tiers_take_what_is_left(spark):
     tier = lambda rows: spark.createDataFrame(rows, "owner long, id long, nth int")
     out = fills.in_tiers([(tier([(1, 5, 1), (1, 6, 2), (1, 5, 3), (1, 7, 4)]), 2), (tier([(1, 6, 1), (1, 8, 2), (1, 9, 3), (2, 1, 1)]), 3), (tier([(1, i, i) for i in range(20)] + [(2, 1, 1), (2, 2, 2)]), 5)], Tables(spark, "t"))
     assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 2, 4), (1, 1, 2, 5), (1, 5, 0, 1), (1, 6, 0, 2), (1, 8, 1, 3), (2, 1, 1, 1), (2, 2, 2, 2)]
+
+
+def test_places_by_ranges_with_and_without_ties(spark):
+    from marlstone.operators.running import places
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", None]), rng.choice([None, 1.0, 2.0, 3.0]), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(4)
+    order = [F.asc_nulls_last("v"), "id"]
+    own = {r["id"]: r["n"] for r in places(df, ["g"], order, "n", Tables(spark, "t")).collect()}
+    shared = {r["id"]: r["n"] for r in places(df, ["g"], order, "n", Tables(spark, "t"), ["v"]).collect()}
+    for g in ("a", None):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        assert [own[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+        assert all(shared[r[2]] == 1 + next(i for i, x in enumerate(mine) if x[1] == r[1]) for r in mine)
