@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from ..session import tasks_for
 
 ENCORE_OFFSET = 1000.0
 
@@ -20,12 +21,18 @@ def performances(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("concert"), F.col("l_partkey").alias("song"), F.col("l_linenumber").alias("place"), F.col("l_suppkey").alias("seq"),
         (F.col("l_linestatus") == "O").alias("encore"), (F.col("l_returnflag") == "R").alias("cover"),
     )
-    return o.join(s, "concert")
+    tasks = tasks_for(lineitem)
+    return o.repartition(tasks, "concert").join(s.repartition(tasks, "concert"), "concert")
 
 
-def plays(p: DataFrame) -> DataFrame:
+def dealt(p: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows by ``keys`` in a number of tasks; as they are where none is given."""
+    return p.repartition(tasks, *keys) if tasks else p
+
+
+def plays(p: DataFrame, tasks: int = 0) -> DataFrame:
     """(artist, song, plays, total, frequency): own songs over concerts with any of them (one at least)."""
-    own = p.where(~F.col("cover"))
+    own = dealt(p.where(~F.col("cover")), tasks, "artist")
     totals = own.groupBy("artist").agg(F.count_distinct("concert").alias("total"))
     n = own.groupBy("artist", "song").agg(F.count("*").alias("plays")).join(totals, "artist")
     return n.withColumn("frequency", F.round(F.col("plays").cast("double") / F.greatest("total", F.lit(1)), 2))
@@ -33,12 +40,12 @@ def plays(p: DataFrame) -> DataFrame:
 
 def running_positions(p: DataFrame) -> DataFrame:
     """Own songs numbered through a whole concert."""
-    order = Window.partitionBy("concert").orderBy("place", "song", "seq")
+    order = Window.partitionBy("concert").orderBy(*map(F.asc_nulls_last, ("place", "song", "seq")))
     return p.where(~F.col("cover")).withColumn("pos", F.row_number().over(order))
 
 
-def histogram(positions: DataFrame) -> DataFrame:
-    return positions.groupBy("artist", "song", "pos").agg(F.count("*").alias("n"))
+def histogram(positions: DataFrame, tasks: int = 0) -> DataFrame:
+    return dealt(positions.select("artist", "song", "pos"), tasks, "artist", "song").groupBy("artist", "song", "pos").agg(F.count("*").alias("n"))
 
 
 def mean_position(h: DataFrame) -> DataFrame:
@@ -68,6 +75,16 @@ def new_songs(p: DataFrame, newest: int = 2, before: int = 8, least: int = 3) ->
     return recent.join(songs.where(F.col("nth") > newest).select("artist", "song").distinct(), ["artist", "song"], "left_anti")
 
 
+def sources(p: DataFrame, tasks: int = 0) -> DataFrame:
+    """(artist, song, sources, streamed, freq): concerts that name a song, and its share of own plays as in ``plays``, 0 without."""
+    by_artist = dealt(p, tasks, "artist")
+    totals = by_artist.groupBy(F.col("artist").alias("_artist")).agg(F.count_distinct(F.when(~F.col("cover"), F.col("concert"))).alias("_total"))
+    s = by_artist.groupBy("artist", "song").agg(F.count_distinct("concert").alias("sources"), (F.max("place") >= 5).alias("streamed"), F.count_if(~F.col("cover")).alias("_plays"))
+    named = F.col("artist").isNotNull() & F.col("song").isNotNull()  # without a key there is no frequency
+    freq = F.round(F.col("_plays").cast("double") / F.greatest("_total", F.lit(1)), 2)
+    return s.join(totals, F.col("artist") == F.col("_artist"), "left").select("artist", "song", "sources", "streamed", F.when(named, F.coalesce(freq, F.lit(0.0))).otherwise(0.0).alias("freq"))
+
+
 # Badges in the order in which songs are shown.
 BADGES = ("setlist", "prediction_hoch", "prediction_mittel", "prediction_niedrig", "spotify")
 

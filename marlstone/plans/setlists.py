@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import setlists as S
-from ..session import table
+from ..session import table, tasks_for
 from .registry import query
 
 AS_OF = "2001-08-01"
@@ -21,23 +21,27 @@ def _p(spark, sf_dir):
     return S.performances(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
+def _tasks(spark, sf_dir):
+    return tasks_for(table(spark, sf_dir, "lineitem"))
+
+
 @query(_PLAYS)
 def play_counts(spark, sf_dir):
     """A4, A5, A6, R15."""
-    return S.plays(_p(spark, sf_dir)).select("artist", "song", "plays", "total", "frequency")
+    return S.plays(_p(spark, sf_dir), _tasks(spark, sf_dir)).select("artist", "song", "plays", "total", "frequency")
 
 
 @query(f"SELECT artist, song, CAST(pos AS INTEGER) AS pos, count(*) AS n FROM ({_RUN}) GROUP BY ALL")
 def position_histogram_running(spark, sf_dir):
     """A8, W3."""
-    return S.histogram(S.running_positions(_p(spark, sf_dir)))
+    return S.histogram(S.running_positions(_p(spark, sf_dir)), _tasks(spark, sf_dir))
 
 
 @query(f"SELECT artist, song, CAST(pos AS INTEGER) AS pos, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY concert, encore ORDER BY place, song, seq) AS pos FROM ({_P})) GROUP BY ALL")
 def position_histogram_per_set(spark, sf_dir):
     """Positions start again in every set of a concert."""
-    order = Window.partitionBy("concert", "encore").orderBy("place", "song", "seq")
-    return S.histogram(_p(spark, sf_dir).withColumn("pos", F.row_number().over(order)))
+    order = Window.partitionBy("concert", "encore").orderBy(*map(F.asc_nulls_last, ("place", "song", "seq")))
+    return S.histogram(_p(spark, sf_dir).withColumn("pos", F.row_number().over(order)), _tasks(spark, sf_dir))
 
 
 @query(f"""SELECT artist, song, count(CASE WHEN encore THEN 1 END) > count(CASE WHEN NOT encore THEN 1 END) AS is_encore,
@@ -51,7 +55,7 @@ def encore_majority_position(spark, sf_dir):
 SELECT artist, song, round(sum(pos * n)::DOUBLE / sum(n)::DOUBLE, 6) AS mean_pos, min(pos) AS low, max(pos) AS high, arg_max(pos, n * 1000 - pos) AS modal FROM h GROUP BY artist, song""")
 def modal_position_order(spark, sf_dir):
     """A10, A11, A13."""
-    return S.mean_position(S.histogram(S.running_positions(_p(spark, sf_dir))))
+    return S.mean_position(S.histogram(S.running_positions(_p(spark, sf_dir)), _tasks(spark, sf_dir)))
 
 
 @query(f"""SELECT o_custkey AS artist, o_orderpriority AS tour, count(*) AS shows, min(o_orderdate) AS first, max(o_orderdate) AS last,
@@ -77,8 +81,8 @@ def new_songs_recent(spark, sf_dir):
 FROM ({_PLAYS}) QUALIFY place <= 5""")
 def display_order_two_tier(spark, sf_dir):
     """Often played first, then by score, limited per artist."""
-    order = Window.partitionBy("artist").orderBy(F.when(F.col("plays") > 1, 0).otherwise(1), F.desc("plays"), F.desc("frequency"), "song")
-    return S.plays(_p(spark, sf_dir)).withColumn("place", F.row_number().over(order)).where("place <= 5").select("artist", "song", "plays", "place")
+    order = Window.partitionBy("artist").orderBy(F.when(F.col("plays") > 1, 0).otherwise(1), F.desc("plays"), F.desc("frequency"), F.asc_nulls_last("song"))
+    return S.plays(_p(spark, sf_dir), _tasks(spark, sf_dir)).withColumn("place", F.row_number().over(order)).where("place <= 5").select("artist", "song", "plays", "place")
 
 
 @query(f"""WITH f AS ({_PLAYS}), s AS (SELECT artist, song, count(DISTINCT concert) AS sources, max(place) >= 5 AS streamed FROM ({_P}) GROUP BY artist, song),
@@ -88,12 +92,10 @@ SELECT artist, song, badge, CASE badge WHEN 'spotify' THEN 0.1::DOUBLE WHEN 'set
   CAST(row_number() OVER (PARTITION BY artist ORDER BY CASE badge WHEN 'setlist' THEN 0 WHEN 'prediction_hoch' THEN 1 WHEN 'prediction_mittel' THEN 2 WHEN 'prediction_niedrig' THEN 3 ELSE 4 END, freq DESC, song) AS INTEGER) AS place FROM b""")
 def confidence_badges(spark, sf_dir):
     """Badge and score by frequency, streams and the number of sources, in the order of badges."""
-    p = _p(spark, sf_dir)
-    s = p.groupBy("artist", "song").agg(F.count_distinct("concert").alias("sources"), (F.max("place") >= 5).alias("streamed"))
-    s = s.join(S.plays(p).select("artist", "song", "frequency"), ["artist", "song"], "left").withColumn("freq", F.coalesce("frequency", F.lit(0.0)))
+    s = S.sources(_p(spark, sf_dir), _tasks(spark, sf_dir))
     badge, score = S.badge(F.col("freq"), F.col("streamed"), F.col("sources"))
     rank = F.array_position(F.array(*map(F.lit, S.BADGES)), F.col("badge"))
-    order = Window.partitionBy("artist").orderBy(rank, F.desc("freq"), "song")
+    order = Window.partitionBy("artist").orderBy(rank, F.desc("freq"), F.asc_nulls_last("song"))
     return s.withColumns({"badge": badge, "score": score}).select("artist", "song", "badge", "score", F.row_number().over(order).alias("place"))
 
 
@@ -101,7 +103,7 @@ def confidence_badges(spark, sf_dir):
 def core_and_best_of(spark, sf_dir):
     """P13, P14, P15."""
     f = F.col("frequency")
-    return S.plays(_p(spark, sf_dir)).select("artist", "song", "frequency", (f >= 0.75).alias("core"), (f >= 0.25).alias("best_of"), (f >= 0.5).alias("likely"))
+    return S.plays(_p(spark, sf_dir), _tasks(spark, sf_dir)).select("artist", "song", "frequency", (f >= 0.75).alias("core"), (f >= 0.25).alias("best_of"), (f >= 0.5).alias("likely"))
 
 
 _SHOWS = """SELECT o_custkey * 10 + year(o_orderdate) // 3 % 10 AS concert, o_custkey AS artist, l_returnflag = 'R' AS cover FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
@@ -123,7 +125,7 @@ def festival_classifiers(spark, sf_dir):
 @query(f"""SELECT artist, count(*) AS songs, count(CASE WHEN plays > 1 THEN 1 END) AS played, max(total) AS concerts, bool_or(frequency >= 0.75) AS has_core FROM ({_PLAYS}) GROUP BY artist""")
 def setlist_summary(spark, sf_dir):
     """A19."""
-    return S.plays(_p(spark, sf_dir)).groupBy("artist").agg(F.count("*").alias("songs"), F.count_if(F.col("plays") > 1).alias("played"), F.max("total").alias("concerts"), F.bool_or(F.col("frequency") >= 0.75).alias("has_core"))
+    return S.plays(_p(spark, sf_dir), _tasks(spark, sf_dir)).groupBy("artist").agg(F.count("*").alias("songs"), F.count_if(F.col("plays") > 1).alias("played"), F.max("total").alias("concerts"), F.bool_or(F.col("frequency") >= 0.75).alias("has_core"))
 
 
 @query("""WITH r AS (SELECT o_custkey AS artist, o_orderpriority AS tour, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
