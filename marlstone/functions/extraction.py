@@ -67,10 +67,11 @@ def venue_in(text: Column, default: Column) -> Column:
 
 def date_snippets(text: Column, reach: int = 140) -> Column:
     """For each date of a text the text itself and up to ``reach`` characters on both sides, in one linear search."""
-    before = rf"(?<=(\A.{{0,{reach - 1}}}|.{{{reach}}}))"
-    p = rf"(?s)\b(?={DATE}){before}({DATE})(?=(.{{0,{reach}}}))"
+    far, near = rf"(?<=(.{{{reach}}}))", rf"(?<=(\A.{{0,{reach - 1}}}))"  # of one length where there is room, so that it is tried once
+    p = rf"(?s)\b(?={DATE})(?:{far}|{near})({DATE})(?=(.{{0,{reach}}}))"
     group = lambda i: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(i))
-    return F.arrays_zip(group(2).alias("date"), group(1).alias("before"), group(3).alias("after"))
+    before = F.zip_with(group(1), group(2), lambda x, y: F.concat(x, y))
+    return F.arrays_zip(group(3).alias("date"), before.alias("before"), group(4).alias("after"))
 
 
 def iso_date(raw: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction as X
 from ..functions import rules
-from ..session import table
+from ..session import table, tasks_for
 from .registry import query
 
 _L = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
@@ -108,7 +108,8 @@ def date_snippet_places(spark, sf_dir):
         F.repeat(F.concat("c_name", F.lit(" ")), (key % 11).cast("int")), day, F.lit(".6.2026 "), pick(("Barclays Arena", "Grosse Freiheit", "Mehr! Theater Logo")), F.lit(" "), F.repeat(F.lit("x "), (key % 97).cast("int")),
         pick(("berlin", "Köln", "nirgends", "Nürnberg")), F.lit(" 2026-07-"), F.lpad(day, 2, "0"), F.lit(" end"),
     )
-    s = table(spark, sf_dir, "customer").select(key.alias("id"), F.inline(X.date_snippets(text)))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    s = c.repartition(tasks_for(c, 20_000), "c_custkey").select(key.alias("id"), F.inline(X.date_snippets(text)))
     snip = F.concat("before", "date", "after")
     city = F.regexp_extract(snip, _CITY, 1)
     return s.select("id", X.iso_date(F.col("date")).alias("day"), X.venue_in(snip, city).alias("place"), F.length(snip).cast("long").alias("width"))

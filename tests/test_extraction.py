@@ -68,3 +68,29 @@ def test_recall(spark):
     got = sorted((r["o"], r["how"], r["place"] or 0, r["id"]) for r in R.recall(df, "o", "id", "v", [1.0, 0.0], 2, 3).collect())
     assert got == [("blind", "newest", 1, 8), ("blind", "newest", 2, 7), ("few", "all", 0, 0), ("few", "all", 0, 1), ("few", "all", 0, 2), ("many", "near", 1, 1), ("many", "near", 2, 2)]
     assert R.recall(df.limit(0), "o", "id", "v", [1.0, 0.0], 2).count() == 0
+
+
+def test_date_snippets_look_back_once(spark):
+    import time
+
+    text = ("word " * 40 + "5.6.2026 " + "y " * 90 + "2026-07-08 end ") * 3
+    df = spark.range(1, numPartitions=1).select(F.lit(text).alias("t")).crossJoin(spark.range(0, 4000, 1, 1)).select(F.concat("t", F.col("id").cast("string")).alias("t"))
+    one = df.limit(1).select(F.inline(X.date_snippets(F.col("t")))).collect()
+    at = [i for i in range(len(text)) if text.startswith(("5.6.2026", "2026-07-08"), i)]
+    assert [x["before"] for x in one] == [text[max(0, i - 140) : i] for i in at]
+    start = time.perf_counter()
+    df.select(F.sum(F.size(X.date_snippets(F.col("t"))))).collect()
+    assert time.perf_counter() - start < 4
+
+
+def test_dates_hold_three_tokens_at_a_time():
+    import tracemalloc
+
+    from marlstone.functions import dates
+
+    text = "word 12 " * 50_000 + "am 12. März 2026 oder 5/13/2027"
+    tracemalloc.start()
+    found = dates.dates_in(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [d for _, d in found] == ["2026-03-12", "2027-05-13"] and peak < 1 << 20
