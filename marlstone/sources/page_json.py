@@ -43,9 +43,15 @@ def _is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def _fields(e: Column, default_venue: str) -> list[Column]:
+def _place(e: Column) -> Column:
+    """The first place that says something; each is read once."""
+    some = lambda p: ~F.coalesce(F.schema_of_variant(p).isin("VOID", "OBJECT<>"), F.lit(True)) & F.coalesce(F.try_variant_get(p, "$", "string") != "", F.lit(True))
+    return F.get(F.filter(F.array(*(F.try_variant_get(e, f"$.{k}", "variant") for k in PLACES)), some), 0)
+
+
+def _fields(e: Column, place: Column, default_venue: str) -> list[Column]:
+    """``place`` is a column that holds ``_place``."""
     day = F.coalesce(*(F.nullif(F.regexp_extract(_text(e, f"$.{k}"), DAY, 1), F.lit("")) for k in DAYS))
-    place = F.coalesce(*(F.when(~F.coalesce(F.schema_of_variant(p).isin("VOID", "OBJECT<>"), F.lit(True)) & F.coalesce(F.try_variant_get(p, "$", "string") != "", F.lit(True)), p) for p in (F.try_variant_get(e, f"$.{k}", "variant") for k in PLACES)))
     inside = _is_object(place)
     city = F.when(inside, F.coalesce(_text(place, "$.city"), _text(place, "$.address.city")))
     venue = F.when(inside, F.coalesce(_text(place, "$.name"), _text(place, "$.venueName"), city)).otherwise(F.try_variant_get(place, "$", "string"))
@@ -56,8 +62,8 @@ def _fields(e: Column, default_venue: str) -> list[Column]:
 
 
 def _events(df: DataFrame, key: str, problem: Column, entries: Column, default_venue: str) -> DataFrame:
-    rows = df.select(key, problem.alias("problem"), entries.alias("_entries")).select(key, F.when(F.col("problem").isNull() & F.col("_entries").isNull(), "no list").otherwise(F.col("problem")).alias("problem"), F.posexplode_outer("_entries").alias("n", "_e"))
-    read = rows.select(key, "problem", F.when(F.col("problem").isNull(), F.col("n")).alias("n"), _is_object(F.col("_e")).alias("_o"), *_fields(F.col("_e"), default_venue))
+    rows = df.select(key, problem.alias("problem"), entries.alias("_entries")).select(key, F.when(F.col("problem").isNull() & F.col("_entries").isNull(), "no list").otherwise(F.col("problem")).alias("problem"), F.posexplode_outer("_entries").alias("n", "_e")).withColumn("_p", _place(F.col("_e")))
+    read = rows.select(key, "problem", F.when(F.col("problem").isNull(), F.col("n")).alias("n"), _is_object(F.col("_e")).alias("_o"), *_fields(F.col("_e"), F.col("_p"), default_venue))
     named = F.col("_o") & F.col("artist").isNotNull()
     shown = [F.when(F.col("problem").isNull(), F.col(c)).alias(c) for c in ("artist", "day", "venue", "city", "url")]
     return read.where(F.col("problem").isNotNull() | named).select(key, "problem", "n", *shown)

@@ -102,3 +102,9 @@ def test_plausible_names(spark):
     df = spark.createDataFrame([(n,) for n in cases] + [(None,)], "n string")
     got = {r["n"]: (r["a"], r["b"]) for r in df.select("n", names.GENERAL.holds(F.col("n")).alias("a"), names.PARK.holds(F.col("n")).alias("b")).collect()}
     assert got == cases | {None: (False, False)}
+
+
+def test_places_of_events_are_read_once(spark):
+    df = spark.createDataFrame([(1, "<html></html>")], "page_id long, html string")
+    plan = page_json.embedded_events(df, default_venue="Hall")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.location") == 1
