@@ -41,8 +41,8 @@ def words_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, t: all words of a text) as one row per text and stem; words met before by this worker are not stemmed again."""
-    memo = dict.fromkeys(STOP_WORDS, "")
+    """Rows (key, t: all words of a text) as one row per text and stem; words met before by this worker, in any task, are not stemmed again."""
+    memo = _stemmed
     for batch in batches:
         ends = np.cumsum(batch.column("t").value_lengths().to_numpy(zero_copy_only=False))
         cuts = np.flatnonzero(np.diff(ends // _TOGETHER, prepend=0)).tolist()
@@ -52,7 +52,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coded = part.column("t").flatten().dictionary_encode()
             words = coded.dictionary.to_pylist()
             if len(memo) > _MEMO:
-                memo = dict.fromkeys(STOP_WORDS, "")
+                memo.clear()
+                memo.update(dict.fromkeys(STOP_WORDS, ""))
             for w in words:
                 if w not in memo:
                     memo[w] = stem(w)
@@ -73,6 +74,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Words looked at together, and words remembered by a worker.
 _TOGETHER, _MEMO = 400_000, 500_000
+_stemmed = dict.fromkeys(STOP_WORDS, "")
 
 
 def build(docs: DataFrame, key: str, text: str, tables: Tables) -> None:

@@ -77,3 +77,17 @@ def test_kept_until_files_change(spark, tmp_path):
 def test_first_terms_are_questions(spark):
     df = spark.createDataFrame([(1, "Eine Freundliche Straße, freundlich und weiter Häuser Konzerte"), (2, "in der")], "doc_id long, text string")
     assert sorted((r["query_id"], r["term"]) for r in text_index.first_terms(df, "doc_id", "text").collect()) == [(1, "freundlich"), (1, "haus"), (1, "strass")]
+
+
+def test_words_of_an_earlier_task_are_not_stemmed_again(monkeypatch):
+    import pyarrow as pa
+
+    from marlstone.operators import text_index
+
+    asked = []
+    monkeypatch.setattr(text_index, "_stemmed", {"der": ""})
+    monkeypatch.setattr(text_index, "stem", lambda w: asked.append(w) or w[:4])
+    batch = pa.RecordBatch.from_pylist([{"key": 1, "t": ["der", "garten", "gartens"]}, {"key": 2, "t": ["garten"]}])
+    rows = [[r for b in text_index._postings(iter([batch])) for r in b.to_pylist()] for _ in range(2)]
+    assert rows[0] == rows[1] and [(r["key"], r["positions"]) for r in rows[0]] == [(1, [2, 3]), (2, [1])]
+    assert sorted(asked) == ["garten", "gartens"]
