@@ -70,7 +70,7 @@ def suppliers_near(spark, sf_dir):
     a = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("a"), lat("c_custkey").alias("lat"), lon("c_custkey").alias("lon"), F.col("n_name").alias("name"))
     lost = F.col("s_suppkey") % 11 == 0
     b = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("b"), F.when(lost, 0.0).otherwise(lat("s_suppkey")).alias("lat"), F.when(lost, 0.0).otherwise(lon("s_suppkey")).alias("lon"), F.concat(F.lit("near "), "n_name", F.lit(" city")).alias("city"))
-    return geo.near_or_named(a.select("a", "lat", "lon"), a.select("a", "name"), b, KM).withColumn("km", F.round("km", 6))
+    return geo.near_or_named(a.select("a", "lat", "lon"), a.select("a", "name"), b, KM, 6)
 
 
 @query("""WITH e AS (SELECT user_id, date_trunc('month', ts + to_months(CAST(event_id % 5 AS INTEGER)))::DATE AS month, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
