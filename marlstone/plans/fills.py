@@ -47,8 +47,7 @@ SELECT owner, id, CAST(tier AS INTEGER) AS tier, rank FROM (SELECT * FROM u UNIO
 def track_fill(spark, sf_dir):
     """An owner's tracks: set list, then new ones, then all in order, each tier taking what room is left."""
     t = _tracks(spark, sf_dir).withColumn("nth", F.col("nth") + F.col("group") * 1000000000)
-    rows = lambda c: t.where(c).select("owner", "id", "nth")
-    return fills.in_tiers([(rows("l_quantity > 40"), SETLIST), (rows("l_returnflag = 'A'"), SETLIST + NEW), (rows("true"), MOST)], Tables(spark, "fill"))
+    return fills.tiers_of(t, [(F.expr("l_quantity > 40"), SETLIST), (F.expr("l_returnflag = 'A'"), SETLIST + NEW), (F.lit(True), MOST)], Tables(spark, "fill"))
 
 
 _LAT, _LON = "47 + ({k} * 7919 % 8000) / 1000.0::DOUBLE", "6 + ({k} * 104729 % 9000) / 1000.0::DOUBLE"
