@@ -1,11 +1,11 @@
 """Full-text search over a stored inverted index of German stems.
 
-``build`` writes four tables: ``texts`` (key, dl, terms, places of each), a row per text; ``postings`` (term,
-key, tf, dl, positions), in folders by a hash of the term and sorted by term inside each file, so that a search for given
-terms opens few files and skips most of each; ``terms`` (term, df); and ``corpus`` (n, total length). Each task writes the
-postings of its own texts, so none is moved. Positions count all words; stop words have no postings. A search for a few
-terms reads postings, one of many questions reads ``texts``, as all that a question asks of a text then stands in one row;
-neither reads the text itself. ``open_index`` builds once per version of the source's files and session folder.
+``build`` writes ``texts`` (key, dl, terms, places of each), a row per text, ``terms`` (term, df) and ``corpus`` (n, total
+length). The first search for a few terms adds ``postings`` (term, key, tf, dl, positions), in folders by a hash of the term and
+sorted by term inside each file, so that it opens few files and skips most of each; each task writes those of its own rows, so
+none is moved. Positions count all words; stop words have no postings. A search of many questions reads ``texts``, as all
+that a question asks of a text stands in one row there; neither search reads the text itself. ``open_index`` builds once per
+version of the source's files and session folder.
 
 Null and empty texts have no postings but count as texts of length 0. Keys are taken to be unique; of rows that repeat a
 key each has its own postings.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,26 +102,34 @@ def _rows_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def build(docs: DataFrame, key: str, text: str, tables: Tables) -> None:
-    """One reading of the texts; postings stay in the tasks that made them."""
+    """One reading of the texts; only terms with their counts are moved."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
     texts = tables.save(rows.mapInArrow(_rows_of_texts, f"key {kind}, {_TEXTS}"), "texts")
-    each = texts.select("key", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("places").alias("positions"))))
-    placed = each.select("term", "key", F.size("positions").alias("tf"), "dl", "positions", _bucket(F.col("term")).alias("bucket"))
-    written = tables.save(placed.sortWithinPartitions("bucket", "term", "key"), "postings", ["bucket"])
-    tables.save(written.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    tables.save(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
     tables.save(texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total")), "corpus")
     tables.save(docs.select(F.col(key).alias("key")).limit(0), "keys")  # the type of keys
 
 
+def _add_postings(texts: DataFrame, tables: Tables) -> None:
+    each = texts.select("key", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("places").alias("positions"))))
+    placed = each.select("term", "key", F.size("positions").alias("tf"), "dl", "positions", _bucket(F.col("term")).alias("bucket"))
+    tables.save(placed.sortWithinPartitions("bucket", "term", "key"), "postings", ["bucket"])
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{base}/{name}")
-        self.terms, self.corpus = read("003-terms", "term string, df long"), read("004-corpus", "n long, total long")
-        kind = spark.read.parquet(f"{base}/005-keys").schema["key"].dataType.simpleString()
-        self.texts = read("001-texts", f"key {kind}, {_TEXTS}")
-        self.postings = read("002-postings", f"term string, key {kind}, tf int, dl long, positions array<int>, bucket int")
+        self.terms, self.corpus = read("002-terms", "term string, df long"), read("003-corpus", "n long, total long")
+        self.kind = spark.read.parquet(f"{base}/004-keys").schema["key"].dataType.simpleString()
+        self.texts = read("001-texts", f"key {self.kind}, {_TEXTS}")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """Made of the rows of texts when first asked for, and kept."""
+        base = kept(self.texts, "postings", lambda tables: _add_postings(self.texts, tables))
+        return self.spark.read.schema(f"term string, key {self.kind}, tf int, dl long, positions array<int>, bucket int").parquet(f"{base}/001-postings")
 
     def of_terms(self, terms) -> DataFrame:
         """Postings of given terms: only their folders are opened."""
@@ -170,8 +178,7 @@ class TextIndex:
         for at, r in zip(slots, rows):
             at[: len(r["terms"])] = [number[t["term"]] for t in r["terms"]]
         given = self.spark.sparkContext.broadcast((np.array([r["set"] for r in rows], np.int64), slots, list(number)))
-        kind = self.texts.schema["key"].dataType.simpleString()
-        dense = self.texts.select("key", "terms", "places").mapInArrow(_passages(given), f"set long, key {kind}, density double").withColumn("density", F.round("density", 6))
+        dense = self.texts.select("key", "terms", "places").mapInArrow(_passages(given), f"set long, key {self.kind}, density double").withColumn("density", F.round("density", 6))
         rank = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("density"), "key"))
         return dense.withColumn("rank", rank).where(F.col("rank") <= k)
 
