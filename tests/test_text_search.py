@@ -93,3 +93,13 @@ def test_rows_with_one_key_stay_apart(spark):
     index = opened(spark, [(1, "Konzert Konzert"), (1, "Abend"), (None, "Abend")])
     assert sorted((r["term"], r["df"]) for r in index.terms.collect()) == [("abend", 2), ("konzert", 1)]
     assert tuple(index.corpus.first()) == (3, 4)
+
+
+def test_hybrids_move_no_positions(spark, data, monkeypatch):
+    from marlstone.plans import retrieval
+
+    plans = {}
+    plain = Tables.save
+    monkeypatch.setattr(Tables, "save", lambda self, df, name, *more: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and plain(self, df, name, *more))
+    retrieval.archive_quota_hybrid_whole(spark, data)
+    assert "postings" not in plans and "hashpartitioning(set" in plans["best"] and "hashpartitioning(term" not in plans["best"]
